@@ -1,4 +1,4 @@
-"""Numeric arrays: norms, softmax, ranking and counting inside one row."""
+"""Numeric arrays: norms, softmax and ranking inside one row."""
 
 from __future__ import annotations
 
@@ -80,31 +80,3 @@ def scores_text(ranked: Column | str) -> Column:
         ),
         " | ",
     )
-
-
-def term_counts(words: Column | str) -> Column:
-    """Distinct words of one row with their counts, as array<struct<term, tf>>.
-
-    Sorting the row's words puts equal ones together, so that counts are
-    distances between run starts. No shuffle is needed because a row holds
-    its whole text.
-    """
-
-    def runs(ordered: Column) -> Column:
-        n = F.size(ordered)
-        starts = F.filter(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
-        )
-        return let(
-            starts,
-            lambda s: F.transform(
-                s,
-                lambda a, j: F.struct(
-                    F.get(ordered, a).alias("term"),
-                    (F.coalesce(F.get(s, j + 1), n) - a).alias("tf"),
-                ),
-            ),
-        )
-
-    return F.when(F.size(_col(words)) > 0, let(F.sort_array(_col(words)), runs))

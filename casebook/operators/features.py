@@ -43,26 +43,19 @@ def row_terms(column: Column | str, settings: TermSettings) -> Column:
     return vectors.let(words, text.with_bigrams) if settings.bigrams else words
 
 
-def document_terms(df: DataFrame, column: str, settings: TermSettings, *keep: str) -> DataFrame:
-    """One row per text and distinct term, with the count; no shuffle."""
-    counts = vectors.term_counts("_terms")
-    return (
-        df.select(*keep, row_terms(column, settings).alias("_terms"))
-        .select(*keep, F.explode(counts).alias("_t"))
-        .select(*keep, F.col("_t.term").alias("term"), F.col("_t.tf").alias("tf"))
-    )
-
-
-def vocabulary(df: DataFrame, column: str, settings: TermSettings) -> DataFrame:
+def vocabulary(df: DataFrame, column: str, settings: TermSettings, n_docs: int) -> DataFrame:
     """(term, cf, df): the terms that pass the document limits, most frequent first.
 
-    Counting is one aggregate on the term with map-side combining; a term that
-    occurs in most texts costs one row per task.
+    Each row lists its terms and then its distinct terms, and the position
+    tells which of the two a term counts for. One aggregate on the term
+    follows, with map-side combining; a term that occurs in most texts costs
+    one row per task.
     """
-    n_docs = df.agg(F.count(F.lit(1))).scalar()
-    counts = document_terms(df, column, settings).groupBy("term").agg(
-        F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df")
+    listed = df.select(row_terms(column, settings).alias("_terms")).select(
+        F.size("_terms").alias("_n"), F.posexplode(F.concat("_terms", F.array_distinct("_terms"))).alias("_pos", "term")
     )
+    repeated = F.col("_pos") < F.col("_n")
+    counts = listed.groupBy("term").agg(F.count_if(repeated).alias("cf"), F.count_if(~repeated).alias("df"))
     kept = counts.filter((F.col("df") >= settings.min_df) & (F.col("df") <= n_docs * settings.max_df))
     return kept.orderBy(F.desc("cf"), "term").limit(settings.max_features)
 
@@ -136,7 +129,7 @@ def fit_tfidf(df: DataFrame, column: str, settings: TermSettings) -> TfidfModel:
     """Vocabulary with smooth idf, ln((1 + n) / (1 + df)) + 1."""
     n = df.count()
     # Bounded by max_features.
-    rows = vocabulary(df, column, settings).select("term", "df").collect()
+    rows = vocabulary(df, column, settings, n).select("term", "df").collect()
     if not rows:
         raise ValueError("No terms are left after the document limits.")
     rows.sort(key=lambda r: r["term"])

@@ -1 +1,112 @@
-"""..."""
+"""Queries that fit models. Results depend on optimisers, so most have no SQL equivalent."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import features, models, neighbours
+from ..plans import clustering, scoring, training
+from ..session import written_table
+from . import roles
+from .registry import query
+from .roles import RECORDS, table, texts
+from .texts import _NEAR, report_settings, stop_words
+
+N_COMPONENTS = 16
+
+
+def _labelled(spark, sf) -> DataFrame:
+    docs = texts(spark, sf)
+    return docs.select(
+        F.md5("text").alias("incident_id"), F.md5("text").alias("report_id"), F.col("text").alias("input_text"),
+        F.col("lang").alias("target"), "doc_id",
+    )
+
+
+def _settings() -> features.TermSettings:
+    return features.TermSettings(stop_words=stop_words(), min_df=2, max_df=0.95, max_features=5000, sublinear=True)
+
+
+@query()
+def train_text_classifier(spark, sf):
+    """Language classifier: one row per class with its intercept."""
+    docs = texts(spark, sf)
+    tfidf = features.fit_tfidf(docs, "text", _settings())
+    fitted = models.train_classifier(tfidf.vector_table(tfidf.transform(docs, "text")), tfidf, "lang")
+    rows = [(name, float(b)) for name, b in zip(fitted.labels, fitted.model.interceptVector)]
+    return spark.createDataFrame(rows, "label string, intercept double")
+
+
+@query()
+def predict_topk(spark, sf):
+    """Top three languages of every document, in and out of the training rows."""
+    docs = texts(spark, sf)
+    tfidf = features.fit_tfidf(docs, "text", _settings())
+    stored = tfidf.vector_table(tfidf.transform(docs, "text"))
+    fitted = models.train_classifier(stored, tfidf, "lang")
+    return fitted.predict(stored, 3).select(
+        "doc_id", "predicted_label", "predicted_confidence", F.explode("top_predictions").alias("p")
+    ).select("doc_id", "predicted_label", "predicted_confidence", F.col("p.label").alias("label"), F.col("p.score").alias("score"))
+
+
+@query()
+def train_evaluate(spark, sf):
+    """Train on one part of the documents, evaluate on the other."""
+    result = training.train_evaluate(_labelled(spark, sf), "target", settings=_settings(), order=["doc_id"])
+    return result.predictions.select("doc_id", "target_label", "predicted_label", "predicted_confidence", "top_3_predictions")
+
+
+@query()
+def svd_embeddings(spark, sf):
+    docs = texts(spark, sf)
+    tfidf = features.fit_tfidf(docs, "text", _settings())
+    return models.svd_embeddings(tfidf.vector_table(tfidf.transform(docs, "text")), N_COMPONENTS).select("doc_id", "embedding")
+
+
+@query()
+def kmeans_clusters(spark, sf):
+    return models.kmeans_clusters(table(spark, sf, "embeddings"), k=12).select("vec_id", "cluster_label")
+
+
+@query()
+def pca_2d(spark, sf):
+    """Plane coordinates with the columns shown on hover."""
+    return models.pca_2d(table(spark, sf, "embeddings")).select("vec_id", "x", "y", "label")
+
+
+@query()
+def cluster_texts(spark, sf):
+    """The whole clustering of the documents, as its summary table."""
+    docs = roles.records(spark, sf)
+    out = clustering.cluster_texts(
+        docs.drop("cluster_label"), order=["doc_id"], n_clusters=6, n_components=N_COMPONENTS, stop_words=list(stop_words()),
+        max_features=5000, keyword_features=5000,
+    )
+    return out.summary
+
+
+@query(f"""WITH {_NEAR}, vt AS (
+    SELECT item_id, 'risk' AS kind, mit_risk_domain AS label, similarity FROM nn JOIN rec USING (doc_id) WHERE mit_risk_domain IS NOT NULL
+    UNION ALL SELECT item_id, 'problem', unnest(string_split(gmf_known_ai_technical_failure, ' | ')), similarity FROM nn JOIN rec USING (doc_id)
+    UNION ALL SELECT item_id, 'sector', csetv1_sector_of_deployment, similarity FROM nn JOIN rec USING (doc_id)),
+  w AS (SELECT item_id, kind, label, row_number() OVER (PARTITION BY item_id, kind ORDER BY round(sum(similarity), 8) DESC, label) AS r FROM vt GROUP BY 1, 2, 3)
+  SELECT item_id, coalesce(max(label) FILTER (kind = 'risk' AND r = 1), 'Not available') AS predicted_risk,
+    coalesce(max(label) FILTER (kind = 'problem' AND r = 1), 'Not available') AS predicted_problem,
+    coalesce(max(label) FILTER (kind = 'sector' AND r = 1), 'Not available') AS predicted_sector
+  FROM benchmark LEFT JOIN w USING (item_id) GROUP BY 1""".replace("coalesce(mit_risk_domain = 'quality 1', false)", "false"))
+def classify_by_examples(spark, sf):
+    """New reports decided by their nearest examples alone."""
+    records = roles.records(spark, sf)
+    fitted = scoring.fit_report_classifier(records, "doc_id", stop_words=list(stop_words()), with_models=False)
+    predictions, _ = scoring.classify_reports(fitted, table(spark, sf, "benchmark"), "item_id")
+    return predictions.select("item_id", "predicted_risk", "predicted_problem", "predicted_sector")
+
+
+@query()
+def classify_new_reports(spark, sf):
+    """New reports decided by the models, with votes where those are unsure."""
+    records = roles.records(spark, sf)
+    fitted = scoring.fit_report_classifier(records, "doc_id", stop_words=list(stop_words()), max_features=5000)
+    predictions, _ = scoring.classify_reports(fitted, table(spark, sf, "benchmark"), "item_id")
+    return predictions.select("item_id", "predicted_risk", "risk_confidence", "predicted_problem", "problem_confidence", "predicted_sector")

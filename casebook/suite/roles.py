@@ -11,12 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import Context
+from ..session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose long texts are worth more than one task."""
+    return spread(table(spark, sf_dir, name))
+
+
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders; low-priority pending ones have no known year."""
     title = F.concat("o_orderpriority", F.lit(" order "), F.col("o_orderkey").cast("string"))
@@ -134,7 +140,7 @@ def sql_clean(column: str) -> str:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as clustered records: the language is the cluster."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     quality = table(spark, sf_dir, "labels")
     return docs.join(quality, "doc_id", "left").select(
         F.col("doc_id"),
@@ -142,7 +148,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("source"), F.lit(" in "), F.col("lang")).alias("incident_title"),
         F.col("text").alias("input_text"),
         F.col("source").alias("source_domain"),
-        (F.ascii("lang") - 97).cast("int").alias("cluster_label"),
+        F.instr(F.lit("de en es fr"), F.col("lang")).alias("cluster_label"),
         F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("mit_risk_domain"),
         F.concat_ws(" | ", "source", "lang").alias("gmf_known_ai_technical_failure"),
         F.col("lang").alias("csetv1_sector_of_deployment"),
@@ -152,7 +158,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RECORDS = """rec AS (
   SELECT d.doc_id, md5(text) AS incident_id, source || ' in ' || lang AS incident_title, text AS input_text,
-         source AS source_domain, CAST(ascii(lang) - 97 AS INTEGER) AS cluster_label,
+         source AS source_domain, CAST(instr('de en es fr', lang) AS INTEGER) AS cluster_label,
          'quality ' || quality AS mit_risk_domain, source || ' | ' || lang AS gmf_known_ai_technical_failure,
          lang AS csetv1_sector_of_deployment, CAST(n_chars + 1000 AS VARCHAR) AS incident_year
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""

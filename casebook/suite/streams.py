@@ -1 +1,50 @@
-"""..."""
+"""Streaming counts, de-duplication and classification over the event and report files."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..plans import scoring
+from ..session import shared_dir
+from ..streaming import reports as stream
+from . import roles
+from .registry import query
+from .roles import table
+from .texts import stop_words
+
+
+def _fresh(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+
+
+def _events(spark, sf):
+    return stream.read_reports(spark, sf, table(spark, sf, "events").schema, pattern="events.parquet")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n_reports FROM events GROUP BY 1, 2")
+def stream_report_counts(spark, sf):
+    counts = stream.report_counts(_events(spark, sf), "ts", ["event_type"])
+    name = f"counts_{uuid.uuid4().hex}"
+    final = stream.run_available(counts, name, "complete", _fresh(spark, "counts"))
+    return final.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n_reports")
+
+
+@query("SELECT user_id, event_type FROM events GROUP BY 1, 2")
+def stream_dedup(spark, sf):
+    """One arrival per (user, type); the lateness limit spans the whole file."""
+    distinct = stream.distinct_reports(_events(spark, sf), "ts", ["user_id", "event_type"], late="3650 days")
+    name = f"dedup_{uuid.uuid4().hex}"
+    return stream.run_available(distinct, name, "append", _fresh(spark, "dedup")).select("user_id", "event_type")
+
+
+@query()
+def stream_classify(spark, sf):
+    """New reports classified as they arrive; the output is read back."""
+    records = roles.records(spark, sf)
+    fitted = scoring.fit_report_classifier(records, "doc_id", stop_words=list(stop_words()), with_models=False)
+    arriving = stream.read_reports(spark, sf, table(spark, sf, "benchmark").schema, pattern="benchmark.parquet")
+    out = _fresh(spark, "classified")
+    stream.classify_stream(arriving, fitted, "item_id", scoring.new_report_text(F.lit(""), "text"), out, _fresh(spark, "state"))
+    return spark.read.parquet(out).select("item_id", "predicted_risk", "predicted_problem", "predicted_sector")

@@ -334,13 +334,13 @@ def network_edges(spark, sf):
 def _summary(records: DataFrame) -> DataFrame:
     """A summary that names only some clusters."""
     base = records.groupBy("cluster_label").agg(F.count(F.lit(1)).alias("size"))
-    return base.filter("cluster_label <> 3").select(
+    return base.filter("cluster_label <> 7").select(
         "cluster_label", clusters.default_name().alias("cluster_name"), F.lit("one, two").alias("top_keywords"), "size"
     )
 
 
 _SUMMARY = f"""{RECORDS}, summ AS (SELECT cluster_label, 'Cluster ' || cluster_label AS cluster_name, 'one, two' AS top_keywords, count(*) AS size
-  FROM rec WHERE cluster_label <> 3 GROUP BY 1)"""
+  FROM rec WHERE cluster_label <> 7 GROUP BY 1)"""
 
 
 @query(f"""WITH {_SUMMARY} SELECT summ.*, visible_records, visible_incidents FROM summ JOIN (
