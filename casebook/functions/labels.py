@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
 from .text import _col, normalize_text, parse_list
-from .vectors import let
 
 SEPARATOR = " | "
 
@@ -127,12 +127,25 @@ def contains_any(c: Column | str, values: list[str]) -> Column:
 
 def label_items(c: Column | str) -> Column:
     """Clean values of one cell: a bracketed list is expanded, else one value."""
-    text = clean_label(c)
-    items = F.when(text.rlike(r"^\[.*\]$"), parse_list(text)).otherwise(F.array(text))
-    return F.filter(F.transform(items, clean_label), lambda x: x != "")
+
+    def items(t: Column) -> Column:
+        listed = F.when(t.rlike(r"^\[.*\]$"), parse_list(t)).otherwise(F.array(t))
+        return F.filter(F.transform(listed, clean_label), lambda x: x != "")
+
+    return let(clean_label(c), items)
 
 
 def join_sorted(values: Column) -> Column:
     """Distinct values in case-insensitive order, `` | `` separated."""
     pairs = F.transform(F.array_distinct(values), lambda x: F.struct(F.lower(x).alias("k"), x.alias("v")))
     return F.array_join(F.transform(F.sort_array(pairs), lambda p: p["v"]), SEPARATOR)
+
+
+def collapse(c: Column | str) -> Column:
+    """Aggregate: all distinct clean values of a group, joined in order.
+
+    Raw cells are de-duplicated on the map side and parsed after the shuffle,
+    so each distinct cell is parsed once per group.
+    """
+    cells = F.collect_set(_col(c).cast("string"))
+    return join_sorted(F.flatten(F.transform(cells, label_items)))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 UNKNOWN_DOMAIN = "Unknown"
 WORD = r"[\p{L}\p{N}_]{2,}"
 
@@ -46,34 +48,46 @@ def _strip_quotes(c: Column) -> Column:
     return F.trim(F.trim(F.trim(c), F.lit('"')), F.lit("'"))
 
 
-def _json_list(c: Column) -> Column:
-    """Elements of a list, tuple or set literal, or null for other text.
+def _drop_blank(c: Column) -> Column:
+    return F.filter(c, lambda x: x.isNotNull() & (x != ""))
 
-    Both quote styles are accepted.
-    """
-    literal = F.regexp_replace(c, r"^[({](.*?),?\s*[)}]$", r"[$1]")
-    return F.when(literal.rlike(r"^\[.*\]$"), F.from_json(literal, "array<string>"))
 
+def _quoted_list(t: Column) -> Column:
+    """Elements of a list, tuple or set literal with quotes in it, else null."""
+    quoted = t.rlike(r"^[\[({].*['\"].*[\])}]$")
+    return F.when(quoted, F.from_json(F.regexp_replace(t, r"^[\[({](.*?),?\s*[\])}]$", r"[$1]"), "array<string>"))
 
-def _drop_blank(c: Column) -> Column:
-    return F.filter(c, lambda x: x.isNotNull() & (x != ""))
+
+def _bare_list(t: Column) -> Column:
+    """Elements between commas; numbers may stand in any kind of bracket."""
+    numbers = t.rlike(r"^[({][\s0-9.,+\-]*[)}]$")
+    inner = F.when(numbers, F.trim(t, F.lit("(){}"))).otherwise(F.trim(t, F.lit("[]")))
+    return F.transform(F.split(inner, ","), _strip_quotes)
 
 
 def parse_list(c: Column | str) -> Column:
     """Text holding a list literal or a comma list, to array<string>.
 
-    Null and blank give an empty array.
+    Null and blank give an empty array. Only quoted literals need the JSON
+    reader, because plain elements look the same without it.
     """
-    text = normalize_text(c)
-    parsed = F.transform(_json_list(text), lambda x: normalize_text(x))
-    loose = F.transform(F.split(F.trim(text, F.lit("[]")), ","), _strip_quotes)
-    return _drop_blank(F.coalesce(parsed, loose))
+
+    def parse(t: Column) -> Column:
+        quoted = F.transform(_quoted_list(t), normalize_text)
+        return _drop_blank(F.coalesce(quoted, _bare_list(t)))
+
+    return let(normalize_text(c), parse)
 
 
 def parse_list_strict(c: Column | str) -> Column:
     """List literal to array<string>; anything else gives an empty array."""
-    parsed = F.transform(_json_list(normalize_text(c)), lambda x: F.trim(x))
-    return F.coalesce(_drop_blank(parsed), F.array().cast("array<string>"))
+
+    def parse(t: Column) -> Column:
+        quoted = F.transform(_quoted_list(t), lambda x: F.trim(x))
+        plain = F.when(t.rlike(r"^\[[^'\"]*\]$"), _bare_list(t))
+        return F.when(t.rlike(r"^\[.*\]$"), _drop_blank(F.coalesce(quoted, plain)))
+
+    return F.coalesce(let(normalize_text(c), parse), F.array().cast("array<string>"))
 
 
 def url_host(c: Column | str) -> Column:

@@ -47,14 +47,10 @@ def clean_examples(
 
 def incident_rollup(report_level: DataFrame) -> DataFrame:
     """Distinct reports, sources and report titles per incident."""
-
-    def collapsed(column: str):
-        return labels.join_sorted(F.flatten(F.collect_set(labels.label_items(column))))
-
     return report_level.groupBy("incident_id").agg(
         F.countDistinct("report_id").alias("joined_report_count"),
-        collapsed("source_domain").alias("source_domains"),
-        collapsed("report_title").alias("linked_report_titles"),
+        labels.collapse("source_domain").alias("source_domains"),
+        labels.collapse("report_title").alias("linked_report_titles"),
     )
 
 

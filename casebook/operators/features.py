@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..functions import text, vectors
+from ..functions.binding import let
 from ..session import written_table
 
 
@@ -40,7 +41,7 @@ class TermSettings:
 def row_terms(column: Column | str, settings: TermSettings) -> Column:
     """All terms of a text: words without stop words, then pairs if wanted."""
     words = text.tokens(F.coalesce(text._col(column), F.lit("")), list(settings.stop_words))
-    return vectors.let(words, text.with_bigrams) if settings.bigrams else words
+    return let(words, text.with_bigrams) if settings.bigrams else words
 
 
 def vocabulary(df: DataFrame, column: str, settings: TermSettings, n_docs: int) -> DataFrame:

@@ -182,10 +182,7 @@ def label_frame(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     Sets are merged on the map side, so a key with many rows sends its
     distinct values only. Their union is what the result row holds.
     """
-    sets = [
-        F.nullif(labels.join_sorted(F.flatten(F.collect_set(labels.label_items(c)))), F.lit("")).alias(c)
-        for c in columns
-    ]
+    sets = [F.nullif(labels.collapse(c), F.lit("")).alias(c) for c in columns]
     return df.groupBy(key).agg(*sets)
 
 
