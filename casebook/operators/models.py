@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, vectors
+from . import filters
 from .features import TfidfModel
 
 MIN_ROWS = 20
@@ -66,7 +67,7 @@ def class_counts(df: DataFrame, column: str) -> dict[str, int]:
 
 
 def train_classifier(
-    vectorised: DataFrame, tfidf: TfidfModel, target: str, c: float = 1.0, max_iter: int = 200,
+    vectorised: DataFrame, tfidf: TfidfModel, target: str, c: float = 1.0, max_iter: int = 500, tol: float = 1e-4,
     min_rows: int = 0,
 ) -> TextClassifier | None:
     """Class-balanced L2 logistic regression on rows with ``features``.
@@ -88,17 +89,15 @@ def train_classifier(
     train = rows.join(F.broadcast(classes), target).select("features", "_label", "_weight")
     estimator = LogisticRegression(
         featuresCol="features", labelCol="_label", weightCol="_weight", family="auto", maxIter=max_iter,
-        regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, tol=1e-5,
+        regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, tol=tol,
     )
     return TextClassifier(tfidf, list(counts), estimator.fit(train))
 
 
 def primary_problem(df: DataFrame, column: str, min_support: int = 3) -> DataFrame:
     """Rows with their first problem label, where that label has enough rows."""
-    from .filters import min_support as supported
-
     first = df.withColumn("problem_label", labels.primary_label(column)).filter("problem_label IS NOT NULL")
-    return supported(first, "problem_label", min_support)
+    return filters.min_support(first, "problem_label", min_support)
 
 
 def svd_components(vector_table: DataFrame, k: int) -> np.ndarray:

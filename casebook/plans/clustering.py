@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import clusters, corpus, features, models, ordering
 from ..session import written_table
 from ..sources import sinks
+from ..sources.catalog import cast_cluster_label
 
 SMALL_CORPUS = 50
 
@@ -61,18 +64,19 @@ def cluster_texts(
     ``max_records`` asks for a seeded sample. It is off by default.
     """
     records = corpus.cluster_input(df, text_column, key, min_chars, order)
+    records = written_table(records.withColumn("_row", F.monotonically_increasing_id()))
     if max_records is not None:
-        records = ordering.with_row_index(records, "_row")
-        records = ordering.sample_rows(written_table(records), "_row", max_records, seed).drop("_row")
-    records = written_table(records)
+        records = written_table(ordering.sample_rows(records, "_row", max_records, seed))
     n_rows = records.count()
 
+    # The models work on row numbers; texts and metadata join back once.
     tfidf = features.fit_tfidf(records, text_column, term_settings(n_rows, 0.95, stop_words, max_features))
-    vector_table = tfidf.vector_table(tfidf.transform(records, text_column))
+    weights = tfidf.transform(records, text_column).select("_row", "term_ids", "weights")
     embedded = written_table(
-        models.svd_embeddings(vector_table, n_components).drop("features", "term_ids", "weights")
+        models.svd_embeddings(tfidf.vector_table(weights), n_components).select("_row", "embedding")
     )
-    clustered = written_table(models.pca_2d(models.kmeans_clusters(embedded, k=n_clusters, seed=seed)))
+    placed = models.pca_2d(models.kmeans_clusters(embedded, k=n_clusters, seed=seed))
+    clustered = written_table(records.join(placed, "_row").drop("_row"))
 
     words = features.fit_tfidf(records, text_column, term_settings(n_rows, 0.9, stop_words, keyword_features))
     keywords = clusters.cluster_keywords(words.transform(clustered, text_column), words)
@@ -95,10 +99,6 @@ def save_clusters(outputs: ClusterOutputs, folder: str, config: dict) -> None:
 
 def load_clusters(spark, folder: str) -> ClusterOutputs:
     """Saved cluster tables; a missing one is empty and leaves a note."""
-    from pyspark.errors import AnalysisException
-
-    from ..sources.catalog import cast_cluster_label
-
     notes: list[str] = []
 
     def read(name: str) -> DataFrame:

@@ -48,7 +48,7 @@ def fit_report_classifier(
         stop_words=tuple(words), bigrams=True, min_df=2, max_features=max_features, sublinear=True
     )
     tfidf = features.fit_tfidf(rows, text_column, settings)
-    stored = tfidf.vector_table(tfidf.transform(rows, text_column))
+    stored = tfidf.vector_table(tfidf.transform(rows, text_column).drop(text_column))
     risk_model = problem_model = None
     if with_models and RISK in stored.columns:
         risk_model = models.train_classifier(stored, tfidf, RISK, c=3.0, min_rows=models.MIN_ROWS)

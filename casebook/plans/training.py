@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import corpus, evaluate, features, models, splits
+from ..operators import corpus, evaluate, features, models, splits, taxonomy
 from ..session import written_table
 from ..sources import sinks
 from ..sources.catalog import check_columns
@@ -71,9 +71,7 @@ def train_evaluate(
     """Clean, split, check, fit on the training part and predict the test part."""
     required = ["input_text", "incident_id", target]
     if set(required) - set(df.columns):
-        from ..operators.taxonomy import candidate_labels
-
-        check_columns(df, required, candidate_labels(df, NOT_A_TARGET))
+        check_columns(df, required, taxonomy.candidate_labels(df, NOT_A_TARGET))
     frame = written_table(corpus.modeling_frame(df, target, strategy, min_chars, order))
     corpus.require_classes(frame)
     train, test = train_test(frame, test_size, seed)
@@ -83,7 +81,8 @@ def train_evaluate(
             stop_words=tuple(features.english_stop_words()), bigrams=True, min_df=2, max_df=0.95, sublinear=True
         )
     tfidf = features.fit_tfidf(train, "input_text", settings)
-    classifier = models.train_classifier(tfidf.vector_table(tfidf.transform(train, "input_text")), tfidf, "target_label", c)
+    weights = tfidf.transform(train, "input_text").select("target_label", "term_ids", "weights")
+    classifier = models.train_classifier(tfidf.vector_table(weights), tfidf, "target_label", c)
     if classifier is None:
         raise ValueError("Need at least two target classes in the training part.")
     predicted = classifier.predict_text(test, "input_text", 3)

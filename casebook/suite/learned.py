@@ -33,7 +33,8 @@ def train_text_classifier(spark, sf):
     """Language classifier: one row per class with its intercept."""
     docs = texts(spark, sf)
     tfidf = features.fit_tfidf(docs, "text", _settings())
-    fitted = models.train_classifier(tfidf.vector_table(tfidf.transform(docs, "text")), tfidf, "lang")
+    weights = tfidf.transform(docs, "text").select("lang", "term_ids", "weights")
+    fitted = models.train_classifier(tfidf.vector_table(weights), tfidf, "lang")
     rows = [(name, float(b)) for name, b in zip(fitted.labels, fitted.model.interceptVector)]
     return spark.createDataFrame(rows, "label string, intercept double")
 
@@ -43,7 +44,7 @@ def predict_topk(spark, sf):
     """Top three languages of every document, in and out of the training rows."""
     docs = texts(spark, sf)
     tfidf = features.fit_tfidf(docs, "text", _settings())
-    stored = tfidf.vector_table(tfidf.transform(docs, "text"))
+    stored = tfidf.vector_table(tfidf.transform(docs, "text").select("doc_id", "lang", "term_ids", "weights"))
     fitted = models.train_classifier(stored, tfidf, "lang")
     return fitted.predict(stored, 3).select(
         "doc_id", "predicted_label", "predicted_confidence", F.explode("top_predictions").alias("p")
@@ -61,7 +62,8 @@ def train_evaluate(spark, sf):
 def svd_embeddings(spark, sf):
     docs = texts(spark, sf)
     tfidf = features.fit_tfidf(docs, "text", _settings())
-    return models.svd_embeddings(tfidf.vector_table(tfidf.transform(docs, "text")), N_COMPONENTS).select("doc_id", "embedding")
+    weights = tfidf.transform(docs, "text").select("doc_id", "term_ids", "weights")
+    return models.svd_embeddings(tfidf.vector_table(weights), N_COMPONENTS).select("doc_id", "embedding")
 
 
 @query()

@@ -168,7 +168,7 @@ def _near(spark, sf) -> DataFrame:
     model = features.fit_tfidf(records, "input_text", report_settings())
     corpus = model.transform(records, "input_text")
     asked = table(spark, sf, "benchmark").withColumn("preferred", F.lit("quality 1"))
-    queries = model.transform(asked, "text")
+    queries = written_table(model.transform(asked, "text"))
     return neighbours.nearest_examples(
         queries, corpus, "item_id", "doc_id", preferred="preferred", corpus_label="mit_risk_domain"
     )
