@@ -10,7 +10,7 @@ from .text import _col
 FIRST_YEAR = 1900
 LAST_YEAR = 2100
 # Formats tried after the ISO forms that Spark recognises itself.
-FORMATS = ("MM/dd/yyyy", "dd.MM.yyyy", "MMMM d, yyyy", "MMM d, yyyy")
+FORMATS = ("M/d/yyyy", "d.M.yyyy", "MMMM d, yyyy", "MMM d, yyyy")
 
 
 def parse_timestamp(c: Column | str, formats: tuple[str, ...] = FORMATS) -> Column:

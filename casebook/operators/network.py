@@ -28,30 +28,47 @@ def top_network_incidents(network: DataFrame, n: int) -> DataFrame:
     )
 
 
-def restrict_network(network: DataFrame, n: int) -> DataFrame:
-    return network.join(top_network_incidents(network, n).select("incident_id"), "incident_id", "left_semi")
+def top_nodes(attention_table: DataFrame, risks: DataFrame, n: int) -> DataFrame:
+    """The n most reported incidents that have a category."""
+    labelled = attention_table.join(risks.select("incident_id").distinct(), "incident_id", "left_semi")
+    return labelled.orderBy(F.desc("report_count"), "incident_id").limit(n).select("incident_id", "incident_title")
 
 
-def _node(kind: str, key: str):
-    return F.concat(F.lit(f"{kind}::"), F.col(key).cast("string"))
+def graph_rows(top: DataFrame, risks: DataFrame, links: DataFrame) -> DataFrame:
+    """(incident_id, kind, value): the distinct ends of the top incidents' edges.
 
+    Categories and sources are taken side by side, not as the pairs that the
+    network table holds. Blank ends are left out.
+    """
+    ends = [
+        df.filter(F.col(c) != "").join(top.select("incident_id"), "incident_id", "left_semi").select(
+            "incident_id", F.lit(kind).alias("kind"), F.col(c).alias("value")
+        )
+        for df, c, kind in ((risks, "risk_category", "risk"), (links, "source_domain", "source"))
+    ]
+    return ends[0].unionByName(ends[1]).distinct()
 
-def nodes(network: DataFrame) -> DataFrame:
-    """Distinct incident, risk and source nodes; blank ends are left out."""
-    title = F.coalesce(F.nullif(F.substring("incident_title", 1, 80), F.lit("")), F.col("incident_id").cast("string"))
-    incidents = network.select(_node("incident", "incident_id").alias("node"), title.alias("label"), F.lit("Incident").alias("node_type"))
-    risks = network.filter("risk_category <> ''").select(
-        _node("risk", "risk_category").alias("node"), labels.short_label("risk_category", 28).alias("label"), F.lit("Risk").alias("node_type")
+
+def nodes(attention_table: DataFrame, risks: DataFrame, links: DataFrame, n: int) -> DataFrame:
+    """Distinct incident, risk and source nodes around the n most reported incidents."""
+    top = top_nodes(attention_table, risks, n)
+    key = F.col("incident_id").cast("string")
+    incidents = top.select(
+        F.concat(F.lit("incident::"), key).alias("node"),
+        F.coalesce(F.nullif(F.substring("incident_title", 1, 80), F.lit("")), key).alias("label"),
+        F.lit("Incident").alias("node_type"),
     )
-    sources = network.filter("source_domain <> ''").select(
-        _node("source", "source_domain").alias("node"), F.col("source_domain").alias("label"), F.lit("Source").alias("node_type")
+    label = F.when(F.col("kind") == "risk", labels.short_label("value", 28)).otherwise(F.col("value"))
+    ends = graph_rows(top, risks, links).select("kind", "value").distinct().select(
+        F.concat("kind", F.lit("::"), "value").alias("node"), label.alias("label"), F.initcap("kind").alias("node_type")
     )
-    return incidents.unionByName(risks).unionByName(sources).distinct()
+    return incidents.unionByName(ends)
 
 
-def edges(network: DataFrame) -> DataFrame:
-    """Distinct incident-risk and incident-source edges."""
-    start = _node("incident", "incident_id").alias("src")
-    risks = network.filter("risk_category <> ''").select(start, _node("risk", "risk_category").alias("dst"))
-    sources = network.filter("source_domain <> ''").select(start, _node("source", "source_domain").alias("dst"))
-    return risks.unionByName(sources).distinct()
+def edges(attention_table: DataFrame, risks: DataFrame, links: DataFrame, n: int) -> DataFrame:
+    """Distinct incident-risk and incident-source edges of the n most reported incidents."""
+    ends = graph_rows(top_nodes(attention_table, risks, n), risks, links)
+    return ends.select(
+        F.concat(F.lit("incident::"), F.col("incident_id").cast("string")).alias("src"),
+        F.concat("kind", F.lit("::"), "value").alias("dst"),
+    )

@@ -320,13 +320,13 @@ def network_top_incidents(spark, sf):
   UNION SELECT 'risk::' || risk_category, risk_category, 'Risk' FROM few
   UNION SELECT 'source::' || source_domain, source_domain, 'Source' FROM few WHERE source_domain <> ''""")
 def network_nodes(spark, sf):
-    return network.nodes(network.restrict_network(_network(spark, sf), 25))
+    return network.nodes(_attention(spark, sf), roles.risks(spark, sf), roles.links(spark, sf), 25)
 
 
 @query(f"""WITH {_NETWORK} SELECT DISTINCT 'incident::' || incident_id AS src, 'risk::' || risk_category AS dst FROM few
   UNION SELECT 'incident::' || incident_id, 'source::' || source_domain FROM few WHERE source_domain <> ''""")
 def network_edges(spark, sf):
-    return network.edges(network.restrict_network(_network(spark, sf), 25))
+    return network.edges(_attention(spark, sf), roles.risks(spark, sf), roles.links(spark, sf), 25)
 
 
 # --- cluster views ---------------------------------------------------------------
