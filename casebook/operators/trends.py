@@ -56,19 +56,17 @@ def risk_counts(incidents: DataFrame, links: DataFrame, risks: DataFrame, metric
     return base.join(labels, "incident_id").groupBy("year", "risk_category").agg(F.sum("n").alias("count"))
 
 
-def top_categories(counts: DataFrame, column: str, top_n: int) -> DataFrame:
-    """The n categories with the largest totals."""
-    return (
-        counts.groupBy(column)
-        .agg(F.sum("count").alias("total"))
-        .orderBy(F.desc("total"), column)
-        .limit(top_n)
-        .select(column)
-    )
-
-
 def keep_top(counts: DataFrame, column: str, top_n: int) -> DataFrame:
-    return counts.join(top_categories(counts, column, top_n), column, "left_semi")
+    """Rows of the n values with the largest totals, ties in order of the value.
+
+    Totals and ranks are windows over the counted table, so the rows behind
+    it are read once. The rank limit is applied in every task before the
+    ranked rows meet in one.
+    """
+    total = F.sum("count").over(Window.partitionBy(column))
+    rank = F.dense_rank().over(Window.orderBy(F.desc("_total"), column))
+    ranked = counts.withColumn("_total", total).withColumn("_rank", rank)
+    return ranked.filter(F.col("_rank") <= top_n).drop("_total", "_rank")
 
 
 def risk_by_year(

@@ -67,13 +67,17 @@ REPORTS = """rep AS (
   FROM part)"""
 
 
-def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select(
+def bare_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links without the report columns, for views that only count them."""
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("incident_id"),
         F.col("l_partkey").alias("report_id"),
         F.year("l_shipdate").alias("report_year"),
     )
-    return lines.join(reports(spark, sf_dir), "report_id", "left")
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bare_links(spark, sf_dir).join(reports(spark, sf_dir), "report_id", "left")
 
 
 LINKS = REPORTS + """, lnk AS (

@@ -21,7 +21,7 @@ TOP = 5
 
 
 def _attention(spark, sf) -> DataFrame:
-    return attention.attention(roles.incidents(spark, sf), roles.links(spark, sf))
+    return attention.attention(roles.incidents(spark, sf), roles.bare_links(spark, sf))
 
 
 # --- filters ---------------------------------------------------------------
@@ -102,20 +102,20 @@ def incidents_per_year(spark, sf):
 
 @query(f"WITH {LINKS} SELECT report_year AS year, count(*) AS count FROM lnk WHERE report_year IS NOT NULL GROUP BY 1")
 def reports_per_year(spark, sf):
-    return trends.per_year(roles.links(spark, sf), "report_year")
+    return trends.per_year(roles.bare_links(spark, sf), "report_year")
 
 
 @query(f"""WITH {INCIDENTS}, {LINKS}, i AS (SELECT incident_year AS year, count(*) AS incidents FROM inc WHERE incident_year IS NOT NULL GROUP BY 1),
   r AS (SELECT report_year AS year, count(*) AS reports FROM lnk GROUP BY 1)
   SELECT year, incidents, reports FROM i FULL JOIN r USING (year)""")
 def overview_by_year(spark, sf):
-    return trends.overview_by_year(roles.incidents(spark, sf), roles.links(spark, sf))
+    return trends.overview_by_year(roles.incidents(spark, sf), roles.bare_links(spark, sf))
 
 
 @query(f"""WITH {LINKS}, y AS (SELECT report_year AS year, count(*) AS count FROM lnk GROUP BY 1)
   SELECT year, count, round(avg(count) OVER (ORDER BY year ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS rolling FROM y""")
 def rolling_average(spark, sf):
-    out = trends.rolling_average(trends.per_year(roles.links(spark, sf), "report_year"))
+    out = trends.rolling_average(trends.per_year(roles.bare_links(spark, sf), "report_year"))
     return out.withColumn("rolling", F.round("rolling", 6))
 
 
@@ -132,8 +132,8 @@ _RISK_INCIDENTS = f"""{INCIDENTS}, {RISKS}, c AS (
 
 
 def _risk_years(spark, sf, metric: str) -> DataFrame:
-    ctx = roles.context(spark, sf)
-    return trends.risk_by_year(ctx.incidents, ctx.incident_reports, ctx.risk_long, metric, TOP)
+    incidents, links, risks = (f(spark, sf) for f in (roles.incidents, roles.bare_links, roles.risks))
+    return trends.risk_by_year(incidents, links, risks, metric, TOP)
 
 
 @query(f"WITH {_RISK_REPORTS} SELECT year, risk_category, count, round(count / sum(count) OVER (PARTITION BY year), 6) AS share FROM ry")
@@ -206,8 +206,8 @@ def intent_by_year(spark, sf):
   (SELECT min(incident_year) || ' - ' || max(incident_year) FROM inc) AS year_range,
   (SELECT count(DISTINCT risk_category) FROM rsk) AS risk_categories""")
 def kpi_summary(spark, sf):
-    ctx = roles.context(spark, sf)
-    return attention.kpi_summary(ctx.incidents, ctx.incident_reports, ctx.risk_long)
+    incidents, links, risks = (f(spark, sf) for f in (roles.incidents, roles.bare_links, roles.risks))
+    return attention.kpi_summary(incidents, links, risks)
 
 
 @query(f"WITH {ATTENTION} SELECT incident_id, incident_title, incident_year, report_count FROM att")
@@ -279,7 +279,7 @@ def country_incidents(spark, sf):
 
 @query(f"WITH {LOCATIONS}, {LINKS}, src AS (SELECT loc.*, report_id AS id FROM loc JOIN lnk USING (incident_id)), {_COUNTRIES} SELECT * FROM cc")
 def country_reports(spark, sf):
-    return places.country_counts(roles.locations(spark, sf), roles.links(spark, sf))
+    return places.country_counts(roles.locations(spark, sf), roles.bare_links(spark, sf))
 
 
 @query(f"""WITH {LOCATIONS}, src AS (SELECT *, incident_id AS id FROM loc), {_COUNTRIES},
