@@ -11,8 +11,7 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +21,7 @@ from .features import TfidfModel
 
 MIN_ROWS = 20
 MIN_CLASSES = 2
+SLICE_VALUES = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -100,26 +100,62 @@ def primary_problem(df: DataFrame, column: str, min_support: int = 3) -> DataFra
     return filters.min_support(first, "problem_label", min_support)
 
 
-def svd_components(vector_table: DataFrame, k: int) -> np.ndarray:
-    """Right singular vectors, terms × k, of rows with ``features``.
+def _gram_product(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """One pass over the rows: the terms × terms Gram matrix times a basis.
 
-    The matrix is bounded by the vocabulary size times k. Rows go from the
-    DataFrame to the distributed matrix inside the JVM.
+    A task adds up its rows and hands on the sums in slices of about
+    ``SLICE_VALUES`` numbers, which are added slice by slice. The result, terms
+    × basis, is bounded by the vocabulary size and is the only thing collected.
     """
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(vector_table.select("features"), "features"))
-    return np.asarray(matrix.computeSVD(k).V.toArray())
+    height = max(1, SLICE_VALUES // basis.shape[1])
+    shared = rows.sparkSession.sparkContext.broadcast(basis)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q = shared.value
+        sums = np.zeros_like(q)
+        for batch in batches:
+            for ids, weights in zip(batch["term_ids"], batch["weights"]):
+                # Term ids are distinct within a row.
+                sums[ids] += np.outer(weights, weights @ q[ids])
+        slices = [(i, sums[i : i + height]) for i in range(0, len(sums), height)]
+        met = [(i, part.ravel()) for i, part in slices if part.any()]
+        yield pd.DataFrame({"first_term": [i for i, _ in met], "part": [p for _, p in met]})
+
+    parts = rows.select("term_ids", "weights").mapInPandas(partial, "first_term int, part array<double>")
+    summed = parts.groupBy("first_term").agg(vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("part"))
+    out = np.zeros_like(basis)
+    for r in summed.collect():
+        part = np.asarray(r["part"]).reshape(-1, basis.shape[1])
+        out[r["first_term"] : r["first_term"] + len(part)] = part
+    shared.unpersist()
+    return out
+
+
+def svd_components(
+    rows: DataFrame, n_terms: int, k: int, seed: int = 42, passes: int = 5, oversampling: int = 10
+) -> np.ndarray:
+    """Leading right singular vectors, terms × k, by randomised subspace iteration.
+
+    The number of passes over the rows is fixed, however many directions are
+    wanted.
+    """
+    width = min(k + oversampling, n_terms)
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_terms, width)))[0]
+    for _ in range(passes):
+        basis = np.linalg.qr(_gram_product(rows, basis))[0]
+    values, rotation = np.linalg.eigh(basis.T @ _gram_product(rows, basis))
+    return basis @ rotation[:, np.argsort(values)[::-1][:k]]
 
 
-def svd_embeddings(vector_table: DataFrame, k: int = 384) -> DataFrame:
+def svd_embeddings(rows: DataFrame, n_terms: int, k: int = 384, seed: int = 42) -> DataFrame:
     """Add ``embedding``: rows projected on the k leading directions, unit length.
 
-    The projection needs one small matrix product per row, which built-in
-    expressions cannot do over a shared matrix; Arrow batches go through NumPy.
+    ``rows`` is a stored table with ``term_ids`` and ``weights``, because
+    every pass reads it. The products with a shared matrix have no built-in
+    expression, so Arrow batches go through NumPy.
     """
-    n_terms = vector_table.select(F.unwrap_udt("features")["size"]).first()[0]
-    n_rows = vector_table.count()
-    k = min(k, max(2, n_rows - 1), max(2, n_terms - 1))
-    shared = vector_table.sparkSession.sparkContext.broadcast(svd_components(vector_table, k))
+    k = min(k, max(2, rows.count() - 1), max(2, n_terms - 1))
+    shared = rows.sparkSession.sparkContext.broadcast(svd_components(rows, n_terms, k, seed))
 
     @F.pandas_udf("array<float>")
     def project(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -127,12 +163,12 @@ def svd_embeddings(vector_table: DataFrame, k: int = 384) -> DataFrame:
         for ids, weights in batches:
             out = []
             for i, w in zip(ids, weights):
-                row = np.asarray(w) @ directions[np.asarray(i, dtype=int)]
+                row = w @ directions[i]
                 length = np.linalg.norm(row)
                 out.append((row / length if length else row).astype("float32"))
             yield pd.Series(out)
 
-    return vector_table.withColumn("embedding", project("term_ids", "weights"))
+    return rows.withColumn("embedding", project("term_ids", "weights"))
 
 
 def _embedding_vectors(df: DataFrame, column: str) -> DataFrame:

@@ -63,3 +63,7 @@ def map_table(counts: DataFrame) -> DataFrame:
             F.when(F.col("iso_alpha").isNotNull(), size).alias("bubble_size"),
         )
     )
+
+
+def top_countries(counts: DataFrame, n: int = 12) -> DataFrame:
+    return counts.orderBy(F.desc("count"), "country_label").limit(n)

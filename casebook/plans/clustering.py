@@ -71,9 +71,9 @@ def cluster_texts(
 
     # The models work on row numbers; texts and metadata join back once.
     tfidf = features.fit_tfidf(records, text_column, term_settings(n_rows, 0.95, stop_words, max_features))
-    weights = tfidf.transform(records, text_column).select("_row", "term_ids", "weights")
+    weights = written_table(tfidf.transform(records, text_column).select("_row", "term_ids", "weights"))
     embedded = written_table(
-        models.svd_embeddings(tfidf.vector_table(weights), n_components).select("_row", "embedding")
+        models.svd_embeddings(weights, len(tfidf.terms), n_components, seed).select("_row", "embedding")
     )
     placed = models.pca_2d(models.kmeans_clusters(embedded, k=n_clusters, seed=seed))
     clustered = written_table(records.join(placed, "_row").drop("_row"))

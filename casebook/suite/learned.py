@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import features, models, neighbours
+from ..operators import features, models
 from ..plans import clustering, scoring, training
 from ..session import written_table
 from . import roles
 from .registry import query
-from .roles import RECORDS, table, texts
+from .roles import table, texts
 from .texts import _NEAR, report_settings, stop_words
 
 N_COMPONENTS = 16
@@ -62,8 +62,8 @@ def train_evaluate(spark, sf):
 def svd_embeddings(spark, sf):
     docs = texts(spark, sf)
     tfidf = features.fit_tfidf(docs, "text", _settings())
-    weights = tfidf.transform(docs, "text").select("doc_id", "term_ids", "weights")
-    return models.svd_embeddings(tfidf.vector_table(weights), N_COMPONENTS).select("doc_id", "embedding")
+    weights = written_table(tfidf.transform(docs, "text").select("doc_id", "term_ids", "weights"))
+    return models.svd_embeddings(weights, len(tfidf.terms), N_COMPONENTS).select("doc_id", "embedding")
 
 
 @query()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import attention, clusters, corpus, features, filters, network, ordering, places, trends
+from ..operators import attention, clusters, corpus, filters, network, ordering, places, trends
 from ..sources import catalog
 from . import roles
 from .registry import query
@@ -282,6 +282,11 @@ def country_reports(spark, sf):
     return places.country_counts(roles.locations(spark, sf), roles.bare_links(spark, sf))
 
 
+@query(f"WITH {LOCATIONS}, src AS (SELECT *, incident_id AS id FROM loc), {_COUNTRIES} SELECT * FROM cc ORDER BY count DESC, country_label LIMIT 12")
+def top_countries(spark, sf):
+    return places.top_countries(places.country_counts(roles.locations(spark, sf)))
+
+
 @query(f"""WITH {LOCATIONS}, src AS (SELECT *, incident_id AS id FROM loc), {_COUNTRIES},
   m AS (SELECT cc.*, 'NA' || chr(65 + n_nationkey) AS iso_alpha FROM cc LEFT JOIN nation ON n_name = country_label AND n_regionkey <> 0)
   SELECT country_label, count, iso_alpha, iso_alpha AS location, round(least(greatest(sqrt(count) * 5, 8), 28), 6) AS bubble_size FROM m WHERE iso_alpha IS NOT NULL""")
@@ -350,6 +355,13 @@ def visible_clusters(spark, sf):
     return clusters.visible_clusters(_summary(records), records)
 
 
+@query(f"""WITH {_SUMMARY} SELECT cluster_label, cluster_name, count(*) AS visible_records FROM summ JOIN rec USING (cluster_label) GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 15""")
+def largest_clusters(spark, sf):
+    records = roles.records(spark, sf)
+    top = clusters.largest_clusters(clusters.visible_clusters(_summary(records), records))
+    return top.select("cluster_label", "cluster_name", "visible_records")
+
+
 @query(f"""WITH {_SUMMARY} SELECT count(*) AS records, count(DISTINCT incident_id) AS incidents, count(DISTINCT cluster_label) AS clusters,
   (SELECT cluster_name FROM summ ORDER BY size DESC, cluster_label LIMIT 1) AS largest_cluster FROM rec""")
 def cluster_kpi(spark, sf):

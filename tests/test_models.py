@@ -70,15 +70,15 @@ def test_classifier_round_trip(spark, docs, tmp_path):
 def test_svd_matches_numpy(docs):
     tfidf = features.fit_tfidf(docs, "text", PLAIN)
     stored = tfidf.vector_table(tfidf.transform(docs, "text"))
-    got = {r["doc_id"]: np.array(r["embedding"]) for r in models.svd_embeddings(stored, 3).collect()}
+    got = {r["doc_id"]: np.array(r["embedding"]) for r in models.svd_embeddings(stored, len(tfidf.terms), 2).collect()}
     rows = stored.collect()
     dense = np.stack([r["features"].toArray() for r in rows])
     _, _, vt = np.linalg.svd(dense, full_matrices=False)
-    want = dense @ vt[:3].T
+    want = dense @ vt[:2].T
     want /= np.linalg.norm(want, axis=1, keepdims=True)
     have = np.stack([got[r["doc_id"]] for r in rows])
     # Directions may be mirrored, so inner products are compared.
-    assert np.allclose(have @ have.T, want @ want.T, atol=1e-4)
+    assert np.allclose(have @ have.T, want @ want.T, atol=1e-3)
 
 
 def test_pca_is_centred(spark):
