@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import math
 from dataclasses import asdict, dataclass, field
+from functools import cached_property
 
+from pyspark import SparkContext
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, StopWordsRemover
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,15 +71,27 @@ class TfidfModel:
     idf: list[float]
     settings: TermSettings = field(default_factory=TermSettings)
 
+    @cached_property
+    def _counter(self) -> CountVectorizerModel:
+        """Counter over the vocabulary, in its order.
+
+        ``CountVectorizerModel.from_vocabulary`` crosses to the JVM once per
+        term, which takes seconds. Here the terms, which hold no line breaks,
+        cross as one string and are split there.
+        """
+        jvm = SparkContext._active_spark_context._jvm
+        terms = jvm.java.util.regex.Pattern.compile("\n").split("\n".join(self.terms))
+        model = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", terms)
+        return model.setInputCol("_terms").setOutputCol("_tf")
+
     def transform(self, df: DataFrame, column: str) -> DataFrame:
         """Add ``term_ids`` and ``weights``, arrays of one unit-length sparse row.
 
         Everything happens inside the row: terms are counted against the
         broadcast vocabulary, scaled and normalised without a shuffle.
         """
-        counter = CountVectorizerModel.from_vocabulary(self.terms, inputCol="_terms", outputCol="_tf")
         scaler = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_tfidf")
-        counted = counter.transform(df.withColumn("_terms", row_terms(column, self.settings)))
+        counted = self._counter.transform(df.withColumn("_terms", row_terms(column, self.settings)))
         unwrapped = scaler.transform(counted).withColumns(
             {"_a": F.unwrap_udt("_tf"), "_b": F.unwrap_udt("_tfidf")}
         )
