@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import zipfile
-from functools import lru_cache
-from glob import glob
-
-import pyspark
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +16,17 @@ WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
 MAX_FEATURES = 18_000
 
 
-@lru_cache
+# Stop words of the suite, shared by the Spark settings and the SQL.
+STOP_WORDS = tuple(
+    "a about after all also am an and any are as at be been before being but by can could did do does for from had has have he her his how i "
+    "if in into is it its just me more most my no nor not of on only or other our out over own same she should so some such than that the "
+    "their them then there these they this those through to too under until up very was we were what when where which while who why will "
+    "with would you your".split()
+)
+
+
 def stop_words() -> tuple[str, ...]:
-    """Spark's English stop words, from the library file; the SQL needs them before a session exists."""
-    jar = glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as z:
-        return tuple(z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n")[:-1])
+    return STOP_WORDS
 
 
 STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words()) + "]"
