@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near
+from . import near, repeats
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,11 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(m) AS
 def op5_minhash_near_dedup(spark, sf):
     """Near-duplicate classes over two-word shingles at 0.8."""
     return near.near_classes(read(spark, sf, "documents"), near.NearSettings(width=2, percent=80))
+
+
+@query()
+def op10_suffix_array_dedup(spark, sf):
+    """Bytes left after the removal of repeated strings of 100 bytes."""
+    out = repeats.remove_repeats(read(spark, sf, "documents").select("doc_id", "text"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
