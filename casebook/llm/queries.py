@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near, repeats
+from . import near, quality, repeats
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,11 @@ def op10_suffix_array_dedup(spark, sf):
     out = repeats.remove_repeats(read(spark, sf, "documents").select("doc_id", "text"))
     removed = F.col("n_bytes") - F.octet_length("kept")
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op3_quality_rules(spark, sf):
+    """Counts, rules and the verdict of the line field for every document."""
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    model = quality.train(docs, read(spark, sf, "labels"))
+    return quality.judge(docs, model).drop("text")
