@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near, quality, repeats
+from . import contamination, near, quality, repeats
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,9 @@ def op3_quality_rules(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", "text")
     model = quality.train(docs, read(spark, sf, "labels"))
     return quality.judge(docs, model).drop("text")
+
+
+@query()
+def op2_benchmark_decontamination(spark, sf):
+    """Documents that hold a copy, edited or not, of a benchmark item."""
+    return contamination.matches(read(spark, sf, "documents"), read(spark, sf, "benchmark"))

@@ -18,6 +18,9 @@ import pyarrow as pa
 BLOCK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space and ASCII punctuation, for operators that compare words without it.
+PUNCTUATION = _SPACE.copy()
+PUNCTUATION[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _VALUE = np.random.default_rng(20250301).integers(1, 1 << 63, 256, dtype=np.uint64)
 _FOLDED = _VALUE.copy()
@@ -55,9 +58,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Word boundaries of a batch of texts: starts, ends, and the first word of each text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE):
         self.data, self.offsets = data, offsets
-        inside = ~_SPACE[data]
+        inside = ~between[data]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         last = inside.copy()
