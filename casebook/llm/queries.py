@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, near, quality, repeats
+from . import contamination, near, packing, quality, repeats
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,9 @@ def op3_quality_rules(spark, sf):
 def op2_benchmark_decontamination(spark, sf):
     """Documents that hold a copy, edited or not, of a benchmark item."""
     return contamination.matches(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+@query()
+def op6_best_fit_packing(spark, sf):
+    """Every piece of every document with its place in a sequence of at most 4096 tokens."""
+    return packing.pack(read(spark, sf, "documents"))
