@@ -39,8 +39,9 @@ class NearSettings:
     With registers that agree with probability of at least 0.8 on a linked
     pair, 32 bands of 4 miss it with probability (1 - 0.8**4)**32 = 5e-8.
     ``prune`` is the estimate below which a pair is not verified: at 0.8 the
-    estimate has a standard deviation of 0.035. ``block`` bounds the shingles of
-    a block of members that are compared with each other.
+    estimate has a standard deviation of 0.035. ``block`` and
+    ``block_members`` bound the shingles and the members of a block of texts that
+    are compared with each other.
     """
 
     width: int = 5
@@ -51,7 +52,8 @@ class NearSettings:
     rate: float = 20.0
     prune: float = 0.58
     rounds: int = 2
-    block: int = 250_000
+    block: int = 400_000
+    block_members: int = 1000
 
 
 def registers(values: np.ndarray, first: np.ndarray, s: NearSettings) -> np.ndarray:
@@ -197,7 +199,7 @@ def _within_families(rows: DataFrame, sketches: DataFrame, docs: DataFrame, s: N
     members = rows.select("doc_id", "component").distinct()
     families = connected_components(rows.select("doc_id", "key").distinct(), "doc_id", "key").withColumnRenamed("component", "family")
     sized = members.join(families, "doc_id").join(sketches.select("doc_id", "n_shingles"), "doc_id")
-    blocks = sized.groupBy("family").agg(F.ceil(F.sum("n_shingles") / s.block).alias("n_blocks"))
+    blocks = sized.groupBy("family").agg(F.ceil(F.greatest(F.sum("n_shingles") / s.block, F.count(F.lit(1)) / s.block_members)).alias("n_blocks"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("n_blocks"))
     dealt = sized.join(blocks, "family").withColumn("own", own).drop("n_shingles")
     sets = docs.join(members.select("doc_id"), "doc_id", "leftsemi").mapInArrow(partial(_set_rows, width=s.width), "doc_id bigint, items array<bigint>")
