@@ -243,8 +243,8 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if len(parts) > 1 else parts[0]
 
 
-def remaining(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """What is left of ``raw`` without the spans, and the maximal spans."""
+def remaining(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The pieces of ``raw`` that are left without the spans, and the maximal spans."""
     order = np.argsort(lo)
     lo, hi = lo[order], np.maximum.accumulate(hi[order])
     fresh = np.ones(len(lo), bool)
@@ -254,42 +254,46 @@ def remaining(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, np.nda
     for a, b in zip(starts.tolist(), ends.tolist()):
         pieces.append(raw[at:a])
         at = b
-    return b"".join(pieces) + raw[at:], starts, ends
+    return [*pieces, raw[at:]], starts, ends
 
 
-def _results(table: Iterator[pa.RecordBatch], s: RepeatSettings) -> Iterator[pa.RecordBatch]:
+def _results(table: Iterator[pa.RecordBatch], s: RepeatSettings, decode: bool) -> Iterator[pa.RecordBatch]:
     for batch in W.batches(table):
-        kept, starts, ends, sizes = [], [], [], []
+        kept, starts, ends, sizes, texts = [], [], [], [], []
         for raw, copy, spans in zip(
             batch.column("text").cast(pa.binary()).to_pylist(), batch.column("copy").to_pylist(), batch.column("spans")
         ):
             raw = raw or b""
             sizes.append(len(raw))
             if copy and len(raw) >= s.length:
-                kept.append(b"")
+                pieces = []
                 starts.append([0])
                 ends.append([len(raw)])
             elif spans.is_valid and len(spans):
                 packed = spans.values.to_numpy()
-                left, a, b = remaining(raw, packed >> 24, (packed >> 24) + (packed & ((1 << 24) - 1)))
-                kept.append(left)
+                pieces, a, b = remaining(raw, packed >> 24, (packed >> 24) + (packed & ((1 << 24) - 1)))
                 starts.append(a.tolist())
                 ends.append(b.tolist())
             else:
-                kept.append(raw)
+                pieces = [raw]
                 starts.append([])
                 ends.append([])
+            kept.append(b"".join(pieces))
+            if decode:  # characters that lost a byte go as a whole
+                texts.append("".join(x.decode(errors="ignore") for x in pieces))
         others = [c for c in batch.schema.names if c not in ("text", "copy", "spans", "mark", "_order")]
         yield pa.RecordBatch.from_arrays(
             [batch.column(c) for c in others]
-            + [pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))],
-            [*others, "n_bytes", "kept", "starts", "ends"],
+            + [pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))]
+            + [pa.array(texts, pa.string())] * decode,
+            [*others, "n_bytes", "kept", "starts", "ends", *["kept_text"] * decode],
         )
 
 
-def remove_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings()) -> DataFrame:
+def remove_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings(), decode: bool = False) -> DataFrame:
     """Columns of ``docs`` but text, with n_bytes, kept (the remaining bytes), and starts, ends of the removed spans.
 
+    ``decode`` adds kept_text, in which characters that lost a byte are left out.
     ``docs`` has doc_id bigint and text; further columns pass through. Earlier
     means a smaller doc_id, or an earlier start in the same text. A null text
     counts as empty. A null doc_id comes after all others. Rows with the same
@@ -316,5 +320,5 @@ def remove_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings())
     joined = texts.join(per_text, "mark", "left").join(firsts, "mark", "left").withColumn("copy", F.coalesce(F.col("_order") > F.col("first_doc"), F.lit(False))).drop("first_doc")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *extra).schema)
     return joined.select("doc_id", *extra, "text", "copy", "spans").mapInArrow(
-        partial(_results, s=s), f"{kinds}, n_bytes bigint, kept binary, starts array<bigint>, ends array<bigint>"
+        partial(_results, s=s, decode=decode), f"{kinds}, n_bytes bigint, kept binary, starts array<bigint>, ends array<bigint>" + ", kept_text string" * decode
     )
