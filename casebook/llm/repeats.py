@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import words as W
 
 SEGMENT = W.BLOCK - 1024
-_LOW = np.uint64((1 << 20) - 1)
+_LOW = np.uint64(W.BLOCK - 1)
 NO_DOC = (1 << 63) - 1
 
 
@@ -46,7 +46,7 @@ class RepeatSettings:
 
     length: int = 100
     sample: int = 48
-    block: int = 60_000
+    block: int = 30_000
 
 
 def _least(h: np.ndarray, w: int) -> np.ndarray:
@@ -111,8 +111,11 @@ def _samples(table: Iterator[pa.RecordBatch], s: RepeatSettings) -> Iterator[pa.
 def _spans(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     """Binary column of byte spans that may overlap."""
     ends = np.concatenate([[0], np.cumsum(size)])
-    take = np.repeat(start - ends[:-1], size) + np.arange(ends[-1])
-    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[take].tobytes())])
+    out = np.empty(ends[-1], np.uint8)
+    for i in range(0, len(start), 8192):
+        j = min(i + 8192, len(start))
+        out[ends[i] : ends[j]] = data[np.repeat(start[i:j] - ends[i:j], size[i:j]) + np.arange(ends[i], ends[j])]
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out)])
 
 
 _CONTEXT = ["hash", "doc_id", "mark", "at", "lo", "hi", "before", "after"]
@@ -125,7 +128,7 @@ def _contexts(table: Iterator[pa.RecordBatch], s: RepeatSettings) -> Iterator[pa
     A context that an earlier text or place of the batch has as well is settled
     here: its row has no bytes and ``at`` = -1, and ``lo`` to ``hi`` go.
     """
-    for batch in W.batches(table, 8 << 20):
+    for batch in W.batches(table):
         data, offsets = W.text_bytes(batch.column("text"))
         text, at, lo, hi, h = cover(data, offsets, s)
         wanted = batch.column("samples")
@@ -137,7 +140,7 @@ def _contexts(table: Iterator[pa.RecordBatch], s: RepeatSettings) -> Iterator[pa
         text, at, lo, hi, h = (x[keep] for x in (text, at, lo, hi, h))
         base = offsets[text]
         first, size = lo + base, hi - lo + s.length
-        doc, mark = batch.column("doc_id").to_numpy()[text], batch.column("mark").to_numpy()[text]
+        doc, mark = batch.column("_order").to_numpy()[text], batch.column("mark").to_numpy()[text]
         order = np.lexsort((at, mark, doc))
         text, at, lo, hi, h, doc, mark, first, size = (x[order] for x in (text, at, lo, hi, h, doc, mark, first, size))
         whole = np.zeros(len(h), np.uint64)
@@ -313,12 +316,15 @@ def remove_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings(),
     beside = "OVER (PARTITION BY hash ORDER BY mark)"
     again = samples.withColumn("other", F.expr(f"lag(mark) {beside} <> mark OR lead(mark) {beside} <> mark")).filter("twice OR other")
     wanted = again.groupBy("mark").agg(F.collect_set("hash").alias("samples"))
-    sources = texts.join(wanted, "mark").join(firsts, "mark").filter("_order = first_doc")
-    contexts = sources.select(F.col("_order").alias("doc_id"), "mark", "text", "samples").mapInArrow(partial(_contexts, s=s), CONTEXT_TYPES)
+    # not "=": as a join key it would shuffle the texts once more
+    sources = texts.join(wanted.join(firsts, "mark"), "mark").filter("_order <= first_doc")
+    # all columns, as in the join below: Spark then shuffles the texts once for both
+    contexts = sources.select(*texts.columns, "samples").mapInArrow(partial(_contexts, s=s), CONTEXT_TYPES)
     spans = contexts.repartition("hash").sortWithinPartitions("hash").mapInArrow(partial(_sorted_buckets, s=s), "mark bigint, span bigint")
     per_text = spans.groupBy("mark").agg(F.collect_set("span").alias("spans"))
-    joined = texts.join(per_text, "mark", "left").join(firsts, "mark", "left").withColumn("copy", F.coalesce(F.col("_order") > F.col("first_doc"), F.lit(False))).drop("first_doc")
+    joined = texts.join(per_text, "mark", "left").join(firsts, "mark", "left")
+    joined = joined.withColumn("copy", F.coalesce(F.col("_order") > F.col("first_doc"), F.lit(False)))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *extra).schema)
-    return joined.select("doc_id", *extra, "text", "copy", "spans").mapInArrow(
+    return joined.select(*texts.columns, "copy", "spans").mapInArrow(
         partial(_results, s=s, decode=decode), f"{kinds}, n_bytes bigint, kept binary, starts array<bigint>, ends array<bigint>" + ", kept_text string" * decode
     )

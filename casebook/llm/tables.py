@@ -11,6 +11,7 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(context: SparkContext) -> None:
@@ -21,6 +22,9 @@ def ship(context: SparkContext) -> None:
     """
     if context.applicationId in _SHIPPED:
         return
+    spark = SparkSession.active()
+    if spark.conf.get(BATCH_ROWS) == "10000":  # the default; texts are long rows
+        spark.conf.set(BATCH_ROWS, "1000")
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     content = io.BytesIO()
     with zipfile.ZipFile(content, "w") as z:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: White space and ASCII punctuation, for operators that compare words without it.
@@ -138,7 +138,7 @@ def distinct_sorted(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
     return values[keep], before[first]
 
 
-def batches(table: Iterator[pa.RecordBatch], limit: int = 16 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
+def batches(table: Iterator[pa.RecordBatch], limit: int = 4 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of about ``limit`` bytes of text, one row at least."""
     for batch in table:
         sizes = np.diff(text_bytes(batch.column(text))[1])
