@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, near, packing, quality, repeats
+from . import chat, contamination, near, packing, quality, repeats
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,37 @@ def op2_benchmark_decontamination(spark, sf):
 def op6_best_fit_packing(spark, sf):
     """Every piece of every document with its place in a sequence of at most 4096 tokens."""
     return packing.pack(read(spark, sf, "documents"))
+
+
+_CONTROL_SQL = r"<\|(?:turn|text|end|im_start|im_end|startoftext|endoftext)\||</?s>|\[/?INST\]|<</?SYS>>"
+
+
+def _added_sql(column: str) -> str:
+    """Characters that escaping adds: one for each backslash and each control string."""
+    return rf"length({column}) - length(replace({column}, '\', '')) + len(regexp_extract_all({column}, '{_CONTROL_SQL}'))"
+
+
+@query(f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, length(role) + length(text) + {len(chat.TURN + chat.TEXT + chat.END)} + {_added_sql("role")} + {_added_sql("text")} AS size FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+""")
+def op1_chat_formatting(spark, sf):
+    """Every conversation as one string, and what reading it back gives."""
+    rows = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text")
+    )
+    out = chat.formatted(chat.conversation_messages(rows.unionByName(probe)))
+    out = out.withColumn("turns", chat.read_turns(F.col("text"))).withColumn("learned", chat.read_loss(F.col("text"), F.col("loss")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("learned").cast("bigint").alias("loss_chars"), F.sha2(F.col("learned"), 256).alias("loss_sha256"),
+        F.length("text").cast("bigint").alias("formatted_chars"),
+    )
