@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, near, packing, quality, repeats
+from . import chat, contamination, near, packing, quality, repeats, toxicity
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,12 @@ def op1_chat_formatting(spark, sf):
         F.length("learned").cast("bigint").alias("loss_chars"), F.sha2(F.col("learned"), 256).alias("loss_sha256"),
         F.length("text").cast("bigint").alias("formatted_chars"),
     )
+
+
+@query()
+def op4_toxicity(spark, sf):
+    """Score of every document; labels of held-out documents are not seen."""
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 5
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    lexicon = toxicity.train(docs, read(spark, sf, "labels").filter(remainder != 0))
+    return toxicity.score(docs.withColumn("held_out", remainder == 0), lexicon)
