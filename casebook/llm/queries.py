@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, near, packing, quality, repeats, toxicity
+from . import chat, contamination, language, near, packing, quality, repeats, toxicity
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,11 @@ def op4_toxicity(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", "text")
     lexicon = toxicity.train(docs, read(spark, sf, "labels").filter(remainder != 0))
     return toxicity.score(docs.withColumn("held_out", remainder == 0), lexicon)
+
+
+@query()
+def op8_lm_scoring(spark, sf):
+    """Log probability of every document under the recurrent model and under add-one counts."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    docs = read(spark, sf, "documents").select("doc_id", "text").withColumn("held_out", held_out)
+    return language.score(docs, ~F.col("held_out"))
