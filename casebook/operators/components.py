@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
+ROWS_PER_FILE = 500_000
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
     return row["n"], row["h"]
@@ -53,7 +56,8 @@ def connected_components(
     for _ in range(max_rounds):
         if state[0] == 0:
             break
-        edges = cut_lineage(_small_star(_large_star(edges)))
+        # no more files than the edges need; rounds never add edges
+        edges = cut_lineage(_small_star(_large_star(edges)).coalesce(1 + state[0] // ROWS_PER_FILE))
         new_state = _fingerprint(edges)
         if new_state == state:
             break
