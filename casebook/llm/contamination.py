@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import written_table
 from . import words as W
+from .bits import BITS, inside, table_of
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,7 @@ class MatchSettings:
     seed: int = 4
     chance: float = 0.01
     least: int = 3
-    bits: int = 24
+    bits: int = BITS
     match: int = 2
     mismatch: int = -1
     gap: int = -1
@@ -57,28 +58,13 @@ def _item_rows(table: Iterator[pa.RecordBatch], s: MatchSettings) -> Iterator[pa
         ], ["item_id", "words", "grams"])
 
 
-def bit_table(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
-    """Set membership in a table of 2**bits bits; at most 2**bits / 64 rows reach the driver."""
-    at = F.shiftrightunsigned(F.col(column), 64 - bits)
-    cells = hashes.select(F.shiftright(at, 6).alias("cell"), F.expr("shiftleft(1L, cast(shiftrightunsigned({}, {}) & 63 as int))".format(column, 64 - bits)).alias("bit"))
-    rows = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[rows.column("cell").to_numpy()] = rows.column("bits").to_numpy()
-    return out.view(np.uint64)
-
-
-def _inside(hashes: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
-    at = hashes >> np.uint64(64 - bits)
-    return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
-
-def _word_counts(table: Iterator[pa.RecordBatch], bits: np.ndarray, s: MatchSettings) -> Iterator[pa.RecordBatch]:
+def _word_counts(table: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(word, n) of the words in the bit table, and (null, n) for all words."""
     total = 0
     for batch in W.batches(table):
         _, h = _hashes(batch)
         total += len(h)
-        found, n = np.unique(h[_inside(h, bits, s.bits)], return_counts=True)
+        found, n = np.unique(h[inside(h, bits)], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
     yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["word", "n"])
 
@@ -88,7 +74,7 @@ def _stretches(table: Iterator[pa.RecordBatch], bits: np.ndarray, reach: int, s:
     for batch in W.batches(table):
         words, h = _hashes(batch)
         grams, first = W.shingles(words, h, s.seed)
-        hit = np.flatnonzero(_inside(grams, bits, s.bits))
+        hit = np.flatnonzero(inside(grams, bits))
         text = np.searchsorted(first, hit, "right") - 1
         place = words.first[text] + hit - first[text]
         lo = np.maximum(place - reach, words.first[text])
@@ -149,8 +135,8 @@ def matches(docs: DataFrame, items: DataFrame, settings: MatchSettings = MatchSe
     docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     known = items.select("item_id", "text").filter("item_id IS NOT NULL").dropDuplicates()
     known = written_table(known.mapInArrow(partial(_item_rows, s=s), "item_id bigint, words array<bigint>, grams array<bigint>").filter(F.size("words") >= s.seed))
-    item_words = bit_table(known.select(F.explode("words").alias("word")), "word", s.bits)
-    counts = docs.mapInArrow(partial(_word_counts, bits=item_words, s=s), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    item_words = table_of(known.select(F.explode("words").alias("word")), s.bits)
+    counts = docs.mapInArrow(partial(_word_counts, bits=item_words), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counts = written_table(counts)
     total = counts.filter("word IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     # expected count of a seed: corpus size times the product of the frequencies of its words
@@ -162,7 +148,7 @@ def matches(docs: DataFrame, items: DataFrame, settings: MatchSettings = MatchSe
     rare = rare.withColumn("rank", rank).filter((F.col("chance") + F.log(F.lit(total + 1.0)) <= float(np.log(s.chance))) | (F.col("rank") <= s.least))
     seeds = written_table(rare.select("gram", "item_id").distinct())
     reach = known.agg(F.max(F.size("words")).alias("n")).first()["n"] or 0
-    seed_bits = bit_table(seeds, "gram", s.bits)
+    seed_bits = table_of(seeds.select("gram"), s.bits)
     found = written_table(docs.mapInArrow(partial(_stretches, bits=seed_bits, reach=reach, s=s), "doc_id bigint, at bigint, words array<bigint>, grams array<bigint>"))
     pairs = found.select("doc_id", "at", F.explode(F.array_distinct("grams")).alias("gram")).join(seeds, "gram").select("doc_id", "at", "item_id").distinct()
     both = pairs.join(found.select("doc_id", "at", "words"), ["doc_id", "at"]).join(known.select("item_id", F.col("words").alias("item")), "item_id")

@@ -11,7 +11,7 @@ equal registers; what is left is verified on the full sets.
 Work stays linear in the rows of a group. Texts with the same set form one
 class by fingerprint, and only one of them is compared. Inside a bucket every
 member meets the bucket's leader; classes that still share a bucket after
-these rounds are compared in blocks, which give links and not pairs.
+that are compared in blocks, which give links and not pairs.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import written_table
+from . import bits
 from . import words as W
 
 Q = 32_000
@@ -51,7 +52,6 @@ class NearSettings:
     base: float = 1.02
     rate: float = 20.0
     prune: float = 0.58
-    rounds: int = 2
     block: int = 400_000
     block_members: int = 1000
 
@@ -116,8 +116,14 @@ def _sketch(table: Iterator[pa.RecordBatch], s: NearSettings) -> Iterator[pa.Rec
         ], ["doc_id", "n_shingles", "mark_a", "mark_b", "registers", "bands"])
 
 
-def _set_rows(table: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in W.batches(table):
+def _set_rows(table: Iterator[pa.RecordBatch], width: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in table:
+        keep = bits.inside(batch.column("doc_id").fill_null(0).to_numpy(), wanted)
+        yield from _full_sets(batch.filter(pa.array(keep)), width)
+
+
+def _full_sets(rows: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
+    for batch in W.batches([rows]):
         values, first = _sets(batch, width)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), W.list_column(values.view(np.int64), first, pa.int64())], ["doc_id", "items"]
@@ -136,6 +142,11 @@ def _likely(table: Iterator[pa.RecordBatch], s: NearSettings) -> Iterator[pa.Rec
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, s: NearSettings) -> DataFrame:
+    """(doc_id, items) of these documents, and of a few more; the texts are not shuffled."""
+    return docs.mapInArrow(partial(_set_rows, width=s.width, wanted=bits.table_of(ids)), "doc_id bigint, items array<bigint>")
+
+
 def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, s: NearSettings) -> DataFrame:
     """Pairs (a, b) whose full sets have the least similarity."""
 
@@ -147,8 +158,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, s: NearSet
     close = pairs.join(side("b"), "b").join(side("a"), "a")
     close = close.filter("100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % s.percent)
     likely = written_table(close.mapInArrow(partial(_likely, s=s), "a bigint, b bigint").distinct())
-    ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(ids, "doc_id", "leftsemi").mapInArrow(partial(_set_rows, width=s.width), "doc_id bigint, items array<bigint>")
+    sets = _sets_of(likely.select(F.explode(F.array("a", "b"))), docs, s)
     both = likely.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b").join(
         sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), "a"
     )
@@ -185,6 +195,8 @@ def _block_links(table: pa.Table, s: NearSettings) -> pa.Table:
     union = sizes[ask][:, None] + sizes[None, :] - both
     x, y = np.nonzero((100 * both >= s.percent * union) & (label[ask][:, None] != label[None, :]))
     x = ask[x]
+    _, first = np.unique(x * len(seen) + label[y], return_index=True)  # one link of a member with a class says it all
+    x, y = x[first], y[first]
     return pa.table({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y])})
 
 
@@ -202,7 +214,7 @@ def _within_families(rows: DataFrame, sketches: DataFrame, docs: DataFrame, s: N
     blocks = sized.groupBy("family").agg(F.ceil(F.greatest(F.sum("n_shingles") / s.block, F.count(F.lit(1)) / s.block_members)).alias("n_blocks"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("n_blocks"))
     dealt = sized.join(blocks, "family").withColumn("own", own).drop("n_shingles")
-    sets = docs.join(members.select("doc_id"), "doc_id", "leftsemi").mapInArrow(partial(_set_rows, width=s.width), "doc_id bigint, items array<bigint>")
+    sets = _sets_of(members.select("doc_id"), docs, s)
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1))
     pairs = dealt.join(sets, "doc_id").withColumn("other", other).select(
         "doc_id", "component", "items", "family", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
@@ -247,24 +259,17 @@ def near_classes(docs: DataFrame, settings: NearSettings = NearSettings()) -> Da
     links = known.join(copies, mark).select(F.col("doc_id").alias("node"), F.col("first_id").alias("hub")).distinct()
     links = written_table(links.filter("node <> hub"))
     found = links.select(F.col("node").alias("b"), F.col("hub").alias("a"))
-    classes = None
-    rows = buckets.withColumn("component", F.col("doc_id"))
-    for r in range(s.rounds):
-        order = F.struct(F.xxhash64("doc_id", F.lit(r)).alias("rank"), F.col("doc_id").alias("doc_id"), F.col("component").alias("component"))
-        leads = rows.groupBy("key").agg(F.min(order).alias("lead"))
-        meet = rows.join(leads, "key").filter("lead.component <> component")
-        if r == 0:  # one pair for each text first: it joins most of a group
-            meet = meet.groupBy("doc_id").agg(F.min("lead").alias("lead"))
-        pairs = meet.select(F.least("lead.doc_id", "doc_id").alias("a"), F.greatest("lead.doc_id", "doc_id").alias("b")).distinct()
-        new = written_table(_verified(pairs, firsts, docs, s))
-        found = found.unionByName(new.select("b", "a"))
-        classes = _classes(found)
-        rows = written_table(_labelled(buckets, classes))
-        if rows.isEmpty():
-            break
-    else:
-        rest = written_table(_within_families(rows, firsts, docs, s))
-        classes = _classes(found.unionByName(rest.select("b", "a")))
+    order = F.struct(F.xxhash64("doc_id").alias("rank"), F.col("doc_id").alias("doc_id"))
+    leads = buckets.groupBy("key").agg(F.min(order).alias("lead"))
+    meet = buckets.join(leads, "key").filter("lead.doc_id <> doc_id")
+    pairs = meet.select(F.least("lead.doc_id", "doc_id").alias("a"), F.greatest("lead.doc_id", "doc_id").alias("b")).distinct()
+    found = found.unionByName(written_table(_verified(pairs, firsts, docs, s)).select("b", "a"))
+    classes = _classes(found)
+    rows = written_table(_labelled(buckets, classes))
+    rest = written_table(_within_families(rows, firsts, docs, s)).select("b", "a")
+    if not rest.isEmpty():
+        settled = classes.filter("node <> component").select(F.col("node").alias("b"), F.col("component").alias("a"))
+        classes = _classes(settled.unionByName(rest))
     named = sketches.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
