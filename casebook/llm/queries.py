@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, language, near, packing, quality, repeats, toxicity
+from . import chat, contamination, language, near, packing, quality, repeats, toxicity, wrappers
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,9 @@ def op8_lm_scoring(spark, sf):
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     docs = read(spark, sf, "documents").select("doc_id", "text").withColumn("held_out", held_out)
     return language.score(docs, ~F.col("held_out"))
+
+
+@query()
+def op7_html_extraction(spark, sf):
+    """Main text of every page."""
+    return wrappers.extract(read(spark, sf, "pages").select("page_id", "url", "html"))
