@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, language, near, packing, quality, repeats, toxicity, wrappers
+from . import chat, contamination, fixity, language, near, packing, quality, repeats, toxicity, wrappers
+from ..session import written_table
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +134,26 @@ def op8_lm_scoring(spark, sf):
 def op7_html_extraction(spark, sf):
     """Main text of every page."""
     return wrappers.extract(read(spark, sf, "pages").select("page_id", "url", "html"))
+
+
+@query("""
+WITH r AS (SELECT page_id, page_id // 512 AS file, octet_length(encode('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+      || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+      || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10))) AS length FROM pages),
+i AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY page_id) - 1 AS ordinal,
+    coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM r)
+SELECT file, ordinal, page_id, "offset", length, CASE page_id % 50 WHEN 7 THEN 'altered' WHEN 23 THEN 'missing' ELSE 'altered' END AS state
+FROM i WHERE page_id % 50 IN (7, 23, 41)
+""")
+def op9_warc_fixity(spark, sf):
+    """Records in which a damaged replica of the archive of all pages differs from the sound one.
+
+    The replica has a byte changed, lacks records, or has them cut short, by page id.
+    """
+    archive = fixity.records(read(spark, sf, "pages"))
+    sound = written_table(fixity.index(archive))
+    kind = F.col("page_id") % 50
+    replica = fixity.digests(fixity.damaged(archive, kind == 7, kind == 23, kind == 41))
+    # a replica keeps the places of its records; what its bytes say now is hashed again
+    places = sound.select("file", "page_id", "ordinal", "offset")
+    return fixity.audit(sound, written_table(replica.join(places, ["file", "page_id"])))
