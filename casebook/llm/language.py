@@ -184,7 +184,7 @@ def _scored(batches: Iterator[pa.RecordBatch], table: Table, weights: np.ndarray
             yield pa.RecordBatch.from_arrays([
                 *rows, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array((logs[at : at + len(n)] + share) / np.log(10)),
                 W.list_column(rare.view(np.int64), rare_first, pa.int64()),
-            ], [*columns, "n_tokens", "n_known", "base_score", "score", "rare"])
+            ], [*columns, "n_tokens", "n_known", "base_score", "score", "_rare"])
             at += len(n)
 
     for batch in W.batches(batches):
@@ -216,7 +216,7 @@ def score(docs: DataFrame, train_row: Column, settings: LanguageSettings = Langu
     outside the training texts share one type.
     """
     s = settings
-    columns = [c for c in docs.columns if c not in ("text", "n_tokens", "n_known", "train_tokens", "base_score", "score", "_row")]
+    columns = [c for c in docs.columns if c not in ("text", "n_tokens", "n_known", "train_tokens", "base_score", "score", "_row", "_rare")]
     known = docs.select(*columns, "text")
     learned = docs.filter(train_row).select("text")
     counts = written_table(count_words(learned))
@@ -225,20 +225,20 @@ def score(docs: DataFrame, train_row: Column, settings: LanguageSettings = Langu
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.select(*columns).schema)
     scored = known.mapInArrow(
         partial(_scored, table=table, weights=weights, s=s, columns=columns),
-        f"{kinds}, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>",
+        f"{kinds}, n_tokens bigint, n_known bigint, base_score double, score double, _rare array<bigint>",
     )
     scored = written_table(scored.withColumn("_row", F.monotonically_increasing_id()))
     rare_total = table.total - int(table.count.sum())
     rare_types = table.types - len(table.hashes)
-    words = scored.select("_row", F.explode("rare").alias("word")).join(counts, "word", "left")
+    words = scored.select("_row", F.explode("_rare").alias("word")).join(counts, "word", "left")
     c = F.coalesce("n", F.lit(0))
     each = words.groupBy("_row").agg(
-        F.sum(F.log10(c + 1.0) - F.lit(float(np.log10(table.total + table.types + 1.0)))).alias("base_more"),
-        F.sum(F.log10(c + 1.0) - F.lit(float(np.log10(rare_total + rare_types + 1.0)))).alias("more"),
-        F.sum((c > 0).cast("bigint")).alias("known_more"),
+        F.sum(F.log10(c + 1.0) - F.lit(float(np.log10(table.total + table.types + 1.0)))).alias("_base_more"),
+        F.sum(F.log10(c + 1.0) - F.lit(float(np.log10(rare_total + rare_types + 1.0)))).alias("_more"),
+        F.sum((c > 0).cast("bigint")).alias("_known_more"),
     )
     both = scored.join(each, "_row", "left")
     return both.select(
-        *columns, "n_tokens", (F.col("n_known") + F.coalesce("known_more", F.lit(0))).alias("n_known"), F.lit(table.total).cast("bigint").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("base_more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
+        *columns, "n_tokens", (F.col("n_known") + F.coalesce("_known_more", F.lit(0))).alias("n_known"), F.lit(table.total).cast("bigint").alias("train_tokens"),
+        (F.col("base_score") + F.coalesce("_base_more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("_more", F.lit(0.0))).alias("score"),
     )

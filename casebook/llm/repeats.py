@@ -297,7 +297,7 @@ def remove_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings(),
     """Columns of ``docs`` but text, with n_bytes, kept (the remaining bytes), and starts, ends of the removed spans.
 
     ``decode`` adds kept_text, in which characters that lost a byte are left out.
-    ``docs`` has doc_id bigint and text; further columns pass through. Earlier
+    ``docs`` has doc_id bigint and text; further columns pass through, but for those named like a result. Earlier
     means a smaller doc_id, or an earlier start in the same text. A null text
     counts as empty. A null doc_id comes after all others. Rows with the same
     doc_id and text are one document, and each gets its result; different texts
@@ -305,9 +305,10 @@ def remove_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings(),
     ``length`` bytes stay. An empty table gives no rows.
     """
     s = settings
-    extra = [c for c in docs.columns if c not in ("doc_id", "text")]
+    made = {"n_bytes", "kept", "starts", "ends", "kept_text"}
+    extra = [c for c in docs.columns if c not in ("doc_id", "text") and c not in made]
     texts = docs.select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra, F.coalesce("doc_id", F.lit(NO_DOC)).alias("_order"),
+        "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(F.lit(0).alias("_none"), *extra).alias("_extra"), F.coalesce("doc_id", F.lit(NO_DOC)).alias("_order"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"),
     )
     long = texts.filter(F.octet_length("text") >= s.length)
@@ -324,7 +325,8 @@ def remove_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings(),
     per_text = spans.groupBy("mark").agg(F.collect_set("span").alias("spans"))
     joined = texts.join(per_text, "mark", "left").join(firsts, "mark", "left")
     joined = joined.withColumn("copy", F.coalesce(F.col("_order") > F.col("first_doc"), F.lit(False)))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *extra).schema)
-    return joined.select(*texts.columns, "copy", "spans").mapInArrow(
-        partial(_results, s=s, decode=decode), f"{kinds}, n_bytes bigint, kept binary, starts array<bigint>, ends array<bigint>" + ", kept_text string" * decode
+    kinds = texts.select("_extra").schema[0].dataType.simpleString()
+    out = joined.select(*texts.columns, "copy", "spans").mapInArrow(
+        partial(_results, s=s, decode=decode), f"doc_id bigint, _extra {kinds}, n_bytes bigint, kept binary, starts array<bigint>, ends array<bigint>" + ", kept_text string" * decode
     )
+    return out.select("doc_id", *(F.col("_extra")[c].alias(c) for c in extra), *out.columns[2:])

@@ -117,7 +117,7 @@ def hits(text: str, machine) -> list[tuple[int, int, float]]:
 
 
 def _features(table: Iterator[pa.RecordBatch], lexicon: Lexicon, columns: list[str]) -> Iterator[pa.RecordBatch]:
-    """``columns``, and weight and n_words of the folded text."""
+    """``columns``, and weight and words of the folded text."""
     machine = automaton(lexicon)
     for batch in W.batches(table, text="_text"):
         weight, size = [], []
@@ -125,7 +125,7 @@ def _features(table: Iterator[pa.RecordBatch], lexicon: Lexicon, columns: list[s
             plain = folded(text or "")
             weight.append(sum(w for _, _, w in hits(plain, machine)))
             size.append(plain.count(" ") - 1 if plain.strip() else 0)
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(weight, pa.float64()), pa.array(size, pa.int64())], [*columns, "weight", "n_folded"])
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(weight, pa.float64()), pa.array(size, pa.int64())], [*columns, "_weight", "_folded"])
 
 
 def _contexts(table: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
@@ -195,15 +195,15 @@ def train(docs: DataFrame, labels: DataFrame, settings: ToxicSettings = ToxicSet
     around = around.groupBy("phrase").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum("n").alias("n"))
     safe = around.filter(f"clean >= {s.least} AND 10 * clean >= 9 * n").orderBy(F.col("clean").desc(), "phrase").limit(s.exceptions).collect()
     lexicon = Lexicon(lexicon.weights, tuple(r["phrase"] for r in safe))
-    seen = rows.select("toxic", F.col("text").alias("_text")).mapInArrow(partial(_features, lexicon=lexicon, columns=["toxic"]), "toxic int, weight double, n_folded bigint").toArrow()
-    x = _design(seen.column("weight").to_numpy(), seen.column("n_folded").to_numpy())
+    seen = rows.select("toxic", F.col("text").alias("_text")).mapInArrow(partial(_features, lexicon=lexicon, columns=["toxic"]), "toxic int, _weight double, _folded bigint").toArrow()
+    x = _design(seen.column("_weight").to_numpy(), seen.column("_folded").to_numpy())
     return Lexicon(lexicon.weights, lexicon.exceptions, _logistic(x, seen.column("toxic").to_numpy().astype(float), s.steps))
 
 
 def _scored(table: Iterator[pa.RecordBatch], lexicon: Lexicon, columns: list[str]) -> Iterator[pa.RecordBatch]:
     fit = np.array(lexicon.logistic)
     for batch in _features(table, lexicon, columns):
-        x = _design(batch.column("weight").to_numpy(), batch.column("n_folded").to_numpy().astype(float))
+        x = _design(batch.column("_weight").to_numpy(), batch.column("_folded").to_numpy().astype(float))
         score = 1 / (1 + np.exp(-np.clip(x @ fit, -500, 500)))
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*columns, "score", "predicted"])
 
