@@ -34,9 +34,9 @@ class MatchSettings:
     score over that of the item with itself.
     """
 
-    seed: int = 4
-    chance: float = 0.01
-    least: int = 3
+    seed: int = 3
+    chance: float = 1.0
+    least: int = 5
     bits: int = BITS
     match: int = 2
     mismatch: int = -1

@@ -13,7 +13,7 @@ def test_alignment():
 
 
 def test_finds_copies_and_edits(llm, texts, odd):
-    items = [(i, texts.prose(25)) for i in range(12)] + [(99, "too short"), (98, None), (None, texts.prose(9))]
+    items = [(i, texts.prose(25)) for i in range(12)] + [(99, "short one"), (98, None), (None, texts.prose(9))]
     docs, want = [], set()
     for i in range(120):
         body = [texts.prose(60)]
