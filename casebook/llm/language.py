@@ -124,6 +124,8 @@ def frequent(counts: DataFrame, s: LanguageSettings) -> Table:
     slot = np.concatenate([np.arange(inner), inner + group]).astype(np.int16)
     share = np.zeros(len(n))
     share[inner:] = np.log(rest / np.maximum(np.bincount(group, rest, s.outer_classes), 1)[group])
+    if not len(n):  # one word that no text has
+        word, n, slot, share = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int16), np.zeros(1)
     order = np.argsort(word)
     word = word[order]
     start = np.searchsorted(word, np.arange((1 << 20) + 1, dtype=np.uint64)[:-1] << np.uint64(44)).astype(np.int32)
@@ -229,7 +231,7 @@ def score(docs: DataFrame, train_row: Column, settings: LanguageSettings = Langu
     )
     scored = written_table(scored.withColumn("_row", F.monotonically_increasing_id()))
     rare_total = table.total - int(table.count.sum())
-    rare_types = table.types - len(table.hashes)
+    rare_types = table.types - int(np.count_nonzero(table.count))
     words = scored.select("_row", F.explode("_rare").alias("word")).join(counts, "word", "left")
     c = F.coalesce("n", F.lit(0))
     each = words.groupBy("_row").agg(

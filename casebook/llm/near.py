@@ -52,8 +52,8 @@ class NearSettings:
     base: float = 1.02
     rate: float = 20.0
     prune: float = 0.58
-    block: int = 400_000
-    block_members: int = 1000
+    block: int = 200_000
+    block_members: int = 500
 
 
 def registers(values: np.ndarray, first: np.ndarray, s: NearSettings) -> np.ndarray:
@@ -186,7 +186,7 @@ def _block_links(table: pa.Table, s: NearSettings) -> pa.Table:
     order = np.argsort(column, kind="stable")
     column, member = column[order], member[order]
     both = np.zeros((len(ask), len(ids)), np.float32)
-    width = 2048
+    width = 1024
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         i, j = np.searchsorted(column, [at, at + width])
         full = np.zeros((len(ids), width), np.float32)

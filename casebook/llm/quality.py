@@ -82,12 +82,12 @@ def lines_of(column: pa.Array) -> Lines:
     starts, ends, text, held = starts[some], ends[some], text[some], held[some]
 
     def per_line(mask: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
-        return sums[ends] - sums[starts]
+        sums = np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])
+        return (sums[ends] - sums[starts]).astype(np.int64)
 
     def per_text(mask: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
-        return sums[offsets[1:]] - sums[offsets[:-1]]
+        sums = np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])
+        return (sums[offsets[1:]] - sums[offsets[:-1]]).astype(np.int64)
 
     symbols = _SYMBOL[data]
     key = W.mix(W.span_hashes(data, starts, ends) + W.mix(text.astype(np.uint64)))
@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: QualitySettings = Qualit
 
 def _judged(table: Iterator[pa.RecordBatch], model: LineModel, s: QualitySettings) -> Iterator[pa.RecordBatch]:
     emit, move = np.array(model.emit), np.array(model.move)
-    for batch in W.batches(table, 4 << 20, "_text"):
+    for batch in W.batches(table, text="_text"):
         lines = lines_of(batch.column("_text"))
         n = batch.num_rows
         content = viterbi(lines.text, lines.features @ emit, move)

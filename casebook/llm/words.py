@@ -138,7 +138,7 @@ def distinct_sorted(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
     return values[keep], before[first]
 
 
-def batches(table: Iterator[pa.RecordBatch], limit: int = 4 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
+def batches(table: Iterator[pa.RecordBatch], limit: int = 2 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of about ``limit`` bytes of text, one row at least."""
     for batch in table:
         sizes = np.diff(text_bytes(batch.column(text))[1])
@@ -150,6 +150,7 @@ def batches(table: Iterator[pa.RecordBatch], limit: int = 4 << 20, text: str = "
             run += n
         if start < batch.num_rows:
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # the worker lives on after the task
 
 
 def list_column(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.Array:
