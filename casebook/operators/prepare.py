@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..sources import names
+from ..session import cut_lineage
 from .ordering import keep_first, with_row_index
 
 # Source columns of the parties named in an incident.
@@ -44,9 +45,9 @@ def incidents(df: DataFrame, notes: list[str] | None = None) -> DataFrame:
         df = with_row_index(df, "_row")
         notes.append("No incident ID column was found; the row index is used.")
     if found["date"] is None:
-        notes.append("No incident date column was found; time-based views may be incomplete.")
+        notes.append("Incidents have no date column, so views over time lack them.")
     if found["links"] is None:
-        notes.append("No incident-to-report links were found; attention metrics may be limited.")
+        notes.append("Incidents have no column of report links, so attention counts only direct links.")
     when, year = _date(found["date"])
     out = df.select(
         "*",
@@ -141,25 +142,29 @@ def corpus_reports(df: DataFrame) -> DataFrame:
     ).filter("report_id <> ''")
 
 
-def resolve_duplicates(df: DataFrame, duplicates: DataFrame, key: str = "incident_id", max_hops: int = 8) -> DataFrame:
-    """Replace duplicate incident ids by the true one, following chains.
+def resolve_duplicates(df: DataFrame, duplicates: DataFrame, key: str = "incident_id") -> DataFrame:
+    """Replace duplicate incident ids by the true one, following chains to their end.
 
     ``duplicates`` has the columns duplicate_incident_number and
-    true_incident_number. Each hop doubles the length of chain that is
-    followed.
+    true_incident_number; of several true ids the smallest counts, and an id
+    that is its own true id ends a chain. Each round doubles the length of
+    chain that is followed and cuts the lineage, so that n pairs take at most
+    log2(n) + 1 rounds. A cycle has no end and raises.
     """
     pairs = duplicates.select(
         F.col("duplicate_incident_number").cast("string").alias("src"),
         F.col("true_incident_number").cast("string").alias("dst"),
-    ).groupBy("src").agg(F.min("dst").alias("dst"))
-    for _ in range(max_hops):
-        nxt = pairs.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-        longer = pairs.join(nxt, "dst", "left").select(
-            "src", F.coalesce("next", "dst").alias("dst"), F.col("next").isNotNull().alias("moved")
-        )
-        if longer.filter("moved").isEmpty():
+    ).filter("src <> dst").groupBy("src").agg(F.min("dst").alias("dst"))
+    pairs = cut_lineage(pairs)
+    for _ in range(pairs.count().bit_length() + 1):
+        onward = pairs.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+        step = cut_lineage(pairs.join(onward, "dst", "left"))
+        pairs = step.select("src", F.coalesce("next", "dst").alias("dst"))
+        if step.filter("next IS NOT NULL").isEmpty():
             break
-        pairs = longer.select("src", "dst")
+    else:
+        if not step.filter("next IS NOT NULL").isEmpty():
+            raise ValueError("The duplicate ids form a cycle.")
     keyed = df.withColumn("_key", F.col(key).cast("string"))
     merged = keyed.join(pairs, keyed["_key"] == pairs["src"], "left")
     return merged.withColumn(key, F.coalesce("dst", "_key")).drop("_key", "src", "dst")

@@ -13,8 +13,6 @@ from ..session import written_table
 from ..sources import sinks
 from ..sources.catalog import cast_cluster_label
 
-SMALL_CORPUS = 50
-
 
 @dataclass
 class ClusterOutputs:
@@ -37,10 +35,10 @@ class ClusterOutputs:
         return named
 
 
-def term_settings(n_rows: int, max_df: float, stop_words: list[str] | None, max_features: int) -> features.TermSettings:
+def term_settings(min_df: int, max_df: float, stop_words: list[str] | None, max_features: int) -> features.TermSettings:
     words = features.english_stop_words() if stop_words is None else stop_words
     return features.TermSettings(
-        stop_words=tuple(words), bigrams=True, min_df=2 if n_rows >= SMALL_CORPUS else 1, max_df=max_df,
+        stop_words=tuple(words), bigrams=True, min_df=min_df, max_df=max_df,
         max_features=max_features,
     )
 
@@ -54,6 +52,7 @@ def cluster_texts(
     n_components: int = 384,
     max_records: int | None = None,
     min_chars: int = 80,
+    min_df: int = 2,
     seed: int = 42,
     stop_words: list[str] | None = None,
     max_features: int = 20_000,
@@ -61,16 +60,16 @@ def cluster_texts(
 ) -> ClusterOutputs:
     """TF-IDF, truncated SVD, k-means and PCA, then the profiles of the clusters.
 
-    ``max_records`` asks for a seeded sample. It is off by default.
+    ``max_records`` asks for a seeded sample. It is off by default. Terms in
+    fewer than ``min_df`` texts are left out, whatever the size of the table.
     """
     records = corpus.cluster_input(df, text_column, key, min_chars, order)
     records = written_table(records.withColumn("_row", F.monotonically_increasing_id()))
     if max_records is not None:
         records = written_table(ordering.sample_rows(records, "_row", max_records, seed))
-    n_rows = records.count()
 
     # The models work on row numbers; texts and metadata join back once.
-    tfidf = features.fit_tfidf(records, text_column, term_settings(n_rows, 0.95, stop_words, max_features))
+    tfidf = features.fit_tfidf(records, text_column, term_settings(min_df, 0.95, stop_words, max_features))
     weights = written_table(tfidf.transform(records, text_column).select("_row", "term_ids", "weights"))
     embedded = written_table(
         models.svd_embeddings(weights, len(tfidf.terms), n_components, seed).select("_row", "embedding")
@@ -78,7 +77,7 @@ def cluster_texts(
     placed = models.pca_2d(models.kmeans_clusters(embedded, k=n_clusters, seed=seed))
     clustered = written_table(records.join(placed, "_row").drop("_row"))
 
-    words = features.fit_tfidf(records, text_column, term_settings(n_rows, 0.9, stop_words, keyword_features))
+    words = features.fit_tfidf(records, text_column, term_settings(min_df, 0.9, stop_words, keyword_features))
     keywords = clusters.cluster_keywords(words.transform(clustered, text_column), words)
     examples = clusters.cluster_examples(clustered, key)
     metadata = {k: c for k, c in clusters.metadata_columns(clustered).items() if c}

@@ -63,14 +63,3 @@ def written_table(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(schema or df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a scanned table out to all cores when it has fewer partitions than that.
-
-    For work that is heavy per row, such as tokenising, on a table that is
-    stored in a few files. A large table already has more partitions and is
-    returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -32,22 +32,28 @@ def distinct_reports(stream: DataFrame, time: str, keys: list[str], late: str =
     return timed.dropDuplicatesWithinWatermark(keys).drop("_t")
 
 
-def run_available(stream: DataFrame, table: str, mode: str, checkpoint: str) -> DataFrame:
-    """Process what has arrived into an in-memory result table and return it.
+def to_files(stream: DataFrame, output: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Process what has arrived into Parquet files and read them back.
 
-    For checks and small results only; production writes to a sink.
+    Each micro-batch has its own folder, which a repeated batch replaces. In
+    update mode a row may come again with a later ``batch``.
     """
-    query = (
-        stream.writeStream.format("memory").queryName(table).outputMode(mode)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return stream.sparkSession.table(table)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+
+    for_each_batch(stream, handle, checkpoint, mode)
+    return stream.sparkSession.read.parquet(output)
+
+
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of the last batch for each key of an update stream."""
+    return rows.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in rows.columns if c not in (*keys, "batch")])
 
 
-def for_each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def for_each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     query = (
-        stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+        stream.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()

@@ -44,15 +44,15 @@ def prepare_reports(spark, sf):
     return prepare.corpus_reports(raw).select("report_id", "report_title", "report_text", "source_domain", "report_year")
 
 
-@query("""WITH l AS (SELECT l_orderkey, unnest([l_partkey, l_suppkey]) AS report_id FROM lineitem)
+@query("""WITH l AS (SELECT l_orderkey, unnest([l_partkey, l_suppkey + 1000000000]) AS report_id FROM lineitem)
   SELECT CAST(l_orderkey AS VARCHAR) AS incident_id, CAST(report_id AS VARCHAR) AS report_id, p_name AS report_title, p_brand AS source_domain
-  FROM l LEFT JOIN part ON p_partkey = report_id AND p_size > 10""")
+  FROM l LEFT JOIN part ON p_partkey = report_id""")
 def incident_reports(spark, sf):
     raw = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("incident_id"), F.lit("Order").alias("title"),
-        F.format_string("['%d', \"%d\"]", "l_partkey", "l_suppkey").alias("linked_reports"),
+        F.format_string("['%d', \"%d\"]", "l_partkey", F.col("l_suppkey") + 1_000_000_000).alias("linked_reports"),
     )
-    reports = prepare.reports(table(spark, sf, "part").filter("p_size > 10").select(
+    reports = prepare.reports(table(spark, sf, "part").select(
         F.col("p_partkey").alias("report_number"), F.col("p_name").alias("title"), F.col("p_brand").alias("source_domain")
     ))
     out = links.incident_reports(prepare.incidents(raw), reports)

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import Context
-from ..session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table whose long texts are worth more than one task."""
-    return spread(table(spark, sf_dir, name))
+    """A table of long texts, as it is split by the reader."""
+    return table(spark, sf_dir, name)
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +155,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("mit_risk_domain"),
         F.concat_ws(" | ", "source", "lang").alias("gmf_known_ai_technical_failure"),
         F.col("lang").alias("csetv1_sector_of_deployment"),
-        (F.col("n_chars") + 1000).cast("string").alias("incident_year"),
+        (F.col("n_chars") % 100 + 1950).cast("string").alias("incident_year"),
     )
 
 
@@ -164,7 +163,7 @@ RECORDS = """rec AS (
   SELECT d.doc_id, md5(text) AS incident_id, source || ' in ' || lang AS incident_title, text AS input_text,
          source AS source_domain, CAST(instr('de en es fr', lang) AS INTEGER) AS cluster_label,
          'quality ' || quality AS mit_risk_domain, source || ' | ' || lang AS gmf_known_ai_technical_failure,
-         lang AS csetv1_sector_of_deployment, CAST(n_chars + 1000 AS VARCHAR) AS incident_year
+         lang AS csetv1_sector_of_deployment, CAST(n_chars % 100 + 1950 AS VARCHAR) AS incident_year
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 METADATA = {
     "risk_category": "mit_risk_domain", "sector": "csetv1_sector_of_deployment",

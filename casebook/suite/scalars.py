@@ -230,12 +230,12 @@ def filter_multivalue(spark, sf):
     return df.filter(labels.contains_any("v", ["Brand#3", "Brand#7", "SMALL"])).select("p_partkey")
 
 
-@query("""WITH logits AS (SELECT vec_id, unnest(range(10)) AS pos, unnest(list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE))) AS z FROM embeddings),
+@query("""WITH logits AS (SELECT vec_id, unnest(range(64)) AS pos, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS z FROM embeddings),
   probs AS (SELECT vec_id, pos, exp(z) / sum(exp(z)) OVER (PARTITION BY vec_id) AS p FROM logits),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, pos) AS r FROM probs)
   SELECT vec_id, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY r) AS top_labels, round(max(p), 6) AS confidence FROM ranked WHERE r <= 3 GROUP BY 1""")
 def softmax_topk(spark, sf):
-    ranked = vectors.top_scores(vectors.softmax(F.slice("embedding", 1, 10)), 3)
+    ranked = vectors.top_scores(vectors.softmax("embedding"), 3)
     return table(spark, sf, "embeddings").select("vec_id", ranked.alias("t")).select(
         "vec_id",
         F.array_join(F.transform("t", lambda e: e["label"].cast("string")), ",").alias("top_labels"),
@@ -243,12 +243,12 @@ def softmax_topk(spark, sf):
     )
 
 
-@query("""WITH z AS (SELECT vec_id, unnest(range(4)) AS pos, unnest(list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE))) AS v FROM embeddings),
+@query("""WITH z AS (SELECT vec_id, unnest(range(64)) AS pos, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS v FROM embeddings),
   p AS (SELECT vec_id, pos, exp(v) / sum(exp(v)) OVER (PARTITION BY vec_id) AS p FROM z),
   r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, pos) AS r FROM p)
-  SELECT vec_id, string_agg(['a', 'b', 'c', 'd'][pos + 1] || ': ' || printf('%.4f', p), ' | ' ORDER BY r) AS top_3 FROM r WHERE r <= 3 GROUP BY 1""")
+  SELECT vec_id, string_agg('c' || pos || ': ' || printf('%.4f', p), ' | ' ORDER BY r) AS top_3 FROM r WHERE r <= 3 GROUP BY 1""")
 def top3_text(spark, sf):
-    ranked = vectors.top_scores(vectors.softmax(F.slice("embedding", 1, 4)), 3, ["a", "b", "c", "d"])
+    ranked = vectors.top_scores(vectors.softmax("embedding"), 3, [f"c{i}" for i in range(64)])
     return table(spark, sf, "embeddings").select("vec_id", vectors.scores_text(ranked).alias("top_3"))
 
 

@@ -26,17 +26,15 @@ def _events(spark, sf):
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n_reports FROM events GROUP BY 1, 2")
 def stream_report_counts(spark, sf):
     counts = stream.report_counts(_events(spark, sf), "ts", ["event_type"])
-    name = f"counts_{uuid.uuid4().hex}"
-    final = stream.run_available(counts, name, "complete", _fresh(spark, "counts"))
-    return final.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n_reports")
+    rows = stream.to_files(counts, _fresh(spark, "counts"), _fresh(spark, "state"), "update")
+    return stream.latest(rows, ["window_start", "event_type"]).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n_reports")
 
 
 @query("SELECT user_id, event_type FROM events GROUP BY 1, 2")
 def stream_dedup(spark, sf):
-    """One arrival per (user, type); the lateness limit spans the whole file."""
-    distinct = stream.distinct_reports(_events(spark, sf), "ts", ["user_id", "event_type"], late="3650 days")
-    name = f"dedup_{uuid.uuid4().hex}"
-    return stream.run_available(distinct, name, "append", _fresh(spark, "dedup")).select("user_id", "event_type")
+    """One arrival per (user, type) in files; what has come in one batch is compared with no limit of time."""
+    distinct = stream.distinct_reports(_events(spark, sf), "ts", ["user_id", "event_type"])
+    return stream.to_files(distinct, _fresh(spark, "dedup"), _fresh(spark, "state")).select("user_id", "event_type")
 
 
 @query()

@@ -151,14 +151,15 @@ def risk_summary(spark, sf):
     return trends.risk_totals(_risk_years(spark, sf, "reports"))
 
 
-_YEARS = list(range(1995, 2003))
-
-
-@query(f"""WITH {_RISK_INCIDENTS} SELECT risk_category, {', '.join(f'coalesce(sum(CASE WHEN year = {y} THEN count END), 0)::BIGINT AS y{y}' for y in _YEARS)}
-  FROM ry GROUP BY 1""")
+@query(f"""WITH {_RISK_INCIDENTS} SELECT c.risk_category, CAST(y.year AS VARCHAR) AS year, coalesce(sum(ry.count), 0)::BIGINT AS count
+  FROM (SELECT DISTINCT risk_category FROM ry) c CROSS JOIN (SELECT DISTINCT year FROM ry WHERE year BETWEEN 1900 AND 2100) y
+  LEFT JOIN ry ON ry.risk_category = c.risk_category AND ry.year = y.year GROUP BY 1, 2""")
 def risk_heatmap(spark, sf):
-    wide = trends.pivot_years(_risk_years(spark, sf, "incidents"), _YEARS)
-    return wide.toDF("risk_category", *[f"y{y}" for y in _YEARS])
+    """The pivot over all years of the data, as rows, since the years are not known to the SQL."""
+    counts = _risk_years(spark, sf, "incidents")
+    years = trends.year_list(counts)
+    wide = trends.pivot_years(counts, years)
+    return wide.unpivot("risk_category", [str(y) for y in years], "year", "count")
 
 
 @query(f"""WITH {_RISK_INCIDENTS}, g AS (SELECT * FROM (SELECT DISTINCT risk_category FROM ry), (SELECT DISTINCT year FROM ry))
@@ -453,11 +454,18 @@ def missing_counts(spark, sf):
     return corpus.missing_counts(docs.select("text", F.col("quality"), F.col("toxic")), ["text", "quality", "toxic"])
 
 
+_PROFILED = (
+    ("orders", 6, "incidents"), ("part", 6, "reports"), ("lineitem", 11, "links"), ("documents", 5, ""), ("region", 2, ""), ("nation", 3, ""),
+    ("customer", 5, ""), ("supplier", 4, ""), ("events", 6, ""), ("embeddings", 3, ""), ("pages", 3, ""), ("benchmark", 2, ""), ("labels", 3, ""),
+    ("conversations", 4, ""),
+)
+
+
 @query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows, CAST({k} AS INTEGER) AS n_columns, '{r}' AS role FROM {n}"
-  for n, k, r in (("orders", 6, "incidents"), ("part", 6, "reports"), ("lineitem", 11, "links"), ("documents", 5, ""))))
+  for n, k, r in _PROFILED))
 def table_profile(spark, sf):
-    tables = {n: table(spark, sf, n) for n in ("orders", "part", "lineitem", "documents")}
-    return catalog.table_profile(tables, {"orders": "incidents", "part": "reports", "lineitem": "links"})
+    tables = {n: table(spark, sf, n) for n, _, _ in _PROFILED}
+    return catalog.table_profile(tables, {n: r for n, _, r in _PROFILED if r})
 
 
 @query(f"""WITH {INCIDENTS}, {RISKS}, {LINKS} SELECT min(incident_year) AS incident_year_min, max(incident_year) AS incident_year_max,

@@ -18,7 +18,7 @@ def test_hits_and_exceptions():
 
 
 def test_learns_and_scores(llm, texts, odd):
-    bad = ["scum", "ScUm", "5cum", "veqa", "veqo", "veqi"]
+    bad = ["scum", "ScUm", "5cum", "veqqa", "veqqo", "veqqi"]
     docs, labels = [], []
     for i in range(240):
         body = texts.prose(60).split(" ")
@@ -31,7 +31,7 @@ def test_learns_and_scores(llm, texts, odd):
         docs.append((i, " ".join(body)))
         if i < 180:
             labels.append((i, toxic))
-    docs += [(900, None), (901, ""), (902, "veqzz and SCUM"), (903, "fresh scum")]
+    docs += [(900, None), (901, ""), (902, "veqqzz and SCUM"), (903, "fresh scum")]
     df = llm.createDataFrame(docs, "doc_id bigint, text string")
     lexicon = t.train(df, llm.createDataFrame(labels + [(None, 1), (3, None)], "doc_id bigint, toxic int"))
     assert " fresh scum " in lexicon.exceptions

@@ -112,7 +112,7 @@ def test_noise_name_and_metadata(spark):
     out = {r["cluster_label"]: r for r in clusters.cluster_summary(df, words, ranked, {"sector": "sector"}).collect()}
     assert out[-1]["cluster_name"] == clusters.NOISE_NAME and out[-1]["top_sector"] == "x (1) | y (1)"
     assert out[0]["size"] == 2 and out[0]["unique_incidents"] == 1 and out[0]["top_keywords"] == "w"
-    assert clusters.metadata_columns(df) == {"year": None, "country": None, "sector": "sector", "risk_category": None, "failure_type": None}
+    assert clusters.metadata_columns(df) == {"year": None, "country": None, "sector": "sector", "risk_category": None, "failure_type": None, "source_domain": None}
 
 
 def brute_force(queries, corpus, k):
@@ -208,7 +208,7 @@ def test_cluster_texts(spark, docs, tmp_path):
         F.col("doc_id").cast("string").alias("incident_id"), F.col("text").alias("input_text"), F.lit("2021").alias("incident_year"),
         F.col("kind").alias("sector"),
     )
-    out = clustering.cluster_texts(frame, n_clusters=2, n_components=4, min_chars=5)
+    out = clustering.cluster_texts(frame, n_clusters=2, n_components=4, min_chars=5, min_df=1)
     summary = {r["cluster_label"]: r for r in out.summary.collect()}
     assert sum(r["size"] for r in summary.values()) == 32
     words = out.keywords.groupBy("cluster_label").agg(F.max("rank").alias("m")).collect()
@@ -222,7 +222,7 @@ def test_cluster_texts(spark, docs, tmp_path):
     assert back.records.count() == 32 and back.notes == [] and "cluster_name" in back.records.columns
     missing = clustering.load_clusters(spark, str(tmp_path / "none"))
     assert len(missing.notes) == 5 and missing.records.isEmpty()
-    sampled = clustering.cluster_texts(frame, n_clusters=2, n_components=4, min_chars=5, max_records=10)
+    sampled = clustering.cluster_texts(frame, n_clusters=2, n_components=4, min_chars=5, min_df=1, max_records=10)
     assert sampled.records.count() == 10
 
 
@@ -231,9 +231,10 @@ def test_streams(spark, tmp_path):
     df = spark.createDataFrame(rows, "id int, ts string, kind string").withColumn("ts", F.to_timestamp("ts"))
     df.write.parquet(str(tmp_path / "in"))
     source = stream.read_reports(spark, str(tmp_path / "in"), df.schema)
-    counts = stream.run_available(stream.report_counts(source, "ts", ["kind"]), "t_counts", "complete", str(tmp_path / "c1"))
+    counts = stream.to_files(stream.report_counts(source, "ts", ["kind"]), str(tmp_path / "o1"), str(tmp_path / "c1"), "update")
+    counts = stream.latest(counts, ["window_start", "kind"])
     assert sorted((r["kind"], r["n_reports"]) for r in counts.collect()) == [("a", 2), ("b", 1)]
-    distinct = stream.run_available(stream.distinct_reports(source, "ts", ["id"]), "t_distinct", "append", str(tmp_path / "c2"))
+    distinct = stream.to_files(stream.distinct_reports(source, "ts", ["id"]), str(tmp_path / "o2"), str(tmp_path / "c2"))
     assert sorted(r["id"] for r in distinct.collect()) == [1, 2]
 
 

@@ -1,6 +1,7 @@
 """Headers, folders of CSV files, canonical tables and sinks."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from casebook.operators import links, prepare, taxonomy
 from casebook.plans import corpus, dashboard
@@ -11,6 +12,7 @@ def test_headers():
     assert names.unique_snake([" Incident ID", "incident-id", "", "!!", "A__b"]) == [
         "incident_id", "incident_id_2", "column", "column_2", "a_b",
     ]
+    assert names.unique_snake(["a", "a", "a_2", "a", "a_2"]) == ["a", "a_2", "a_2_2", "a_3", "a_2_3"]
     assert names.taxonomy_name("classifications_CSETv1") == "csetv1"
 
 
@@ -20,7 +22,7 @@ def test_find_column():
     # A containing match accepts any header with the candidate inside it.
     assert names.find_column(columns, ["id"]) == "evidence"
     assert names.find_column(["x"], names.TITLE) is None
-    with pytest.raises(ValueError, match="Tried candidates: title.*Available columns: x"):
+    with pytest.raises(ValueError, match="Looked for title.*among x"):
         names.require_column(["x"], names.TITLE, "incidents", "title")
 
 
@@ -131,6 +133,15 @@ def test_links_fallback(spark):
     assert [(r["incident_id"], r["report_id"]) for r in links.incident_reports(incidents, reports).collect()] == [("1", "5")]
 
 
+def test_long_chain_and_cycle_of_duplicates(spark):
+    chain = spark.range(300).select(F.col("id").alias("duplicate_incident_number"), (F.col("id") + 1).alias("true_incident_number"))
+    df = spark.createDataFrame([("0",), ("299",), ("x",)], "incident_id string")
+    assert sorted(r["incident_id"] for r in prepare.resolve_duplicates(df, chain).collect()) == ["300", "300", "x"]
+    cycle = spark.createDataFrame([(1, 2), (2, 1)], "duplicate_incident_number int, true_incident_number int")
+    with pytest.raises(ValueError, match="cycle"):
+        prepare.resolve_duplicates(df, cycle)
+
+
 def test_resolve_duplicates(spark):
     pairs = spark.createDataFrame([(342, 88), (88, 1057), (365, 95)], "duplicate_incident_number int, true_incident_number int")
     df = spark.createDataFrame([(342,), (88,), (365,), (7,)], "incident_id int")
