@@ -4,7 +4,7 @@ Pages of a host share a template. A page of each host, the first by a hash,
 gives a reference tree; every page is aligned with it by simple tree matching.
 Counts over all pages of the host then tell template nodes, whose text stays
 the same, from slots, whose text varies, and the slot with the most varying
-text from the others. Runs of like siblings count as one node, so that lists
+text, with its siblings, from the others. Runs of like siblings count as one node, so that lists
 and paragraphs of any length align. What is left in the article, or in that
 slot on pages without one, is the text; menus, headers, footers, side bars,
 notices, adverts, forms and reader comments are known by their elements and
@@ -246,8 +246,8 @@ def text_of(page: str, tree: list | None, constant: frozenset[int], main: int |
         for number, group in match(tree, groups)[1]:
             if number in constant:
                 dropped.update(map(id, group.nodes))
-            if number == main:
-                slot = group.nodes
+            if number == main:  # with its siblings, such as headings
+                slot = list({id(x.parent): x.parent for x in group.nodes}.values())
     articles: list[Node] = []
 
     def find(node: Node, tag: str) -> None:
