@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
+from ..session import few
 from .filters import long_enough
 from .ordering import keep_first
 
@@ -94,6 +95,7 @@ def encode_labels(df: DataFrame, column: str = "target_label") -> tuple[DataFram
     back on the class name.
     """
     mapping = df.select(column).distinct().withColumn("label", F.row_number().over(Window.orderBy(column)) - 1)
+    mapping = few(mapping, "classes")
     return df.join(mapping, column), mapping.select("label", column)
 
 

@@ -88,6 +88,17 @@ def classification_metrics(pairs: DataFrame) -> DataFrame:
     ).select(accuracy.alias("accuracy"), "macro_f1", "weighted_f1")
 
 
+def part_sizes(train: DataFrame, test: DataFrame, group: str = "incident_id") -> DataFrame:
+    """Rows and groups of the training and the test part."""
+    sizes = [F.count(F.lit(1)).alias("n_rows"), F.count_distinct(group).alias("n_groups")]
+    return train.agg(*sizes).select(F.lit("train").alias("part"), "*").unionByName(test.agg(*sizes).select(F.lit("test").alias("part"), "*"))
+
+
+def label_counts(df: DataFrame, label: str) -> DataFrame:
+    """Rows of each class."""
+    return df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def distributions(pairs: DataFrame) -> DataFrame:
     """Test and predicted counts per class."""
     true = pairs.groupBy(F.col("true_label").alias("label")).agg(F.sum("count").alias("n_true"))

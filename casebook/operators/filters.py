@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
+from ..session import few
 
 
 @dataclass(frozen=True)
@@ -118,4 +119,4 @@ def long_enough(text_column: str, min_chars: int, key: str | None = None) -> Col
 def min_support(df: DataFrame, label: str, rows: int = 3) -> DataFrame:
     """Rows whose label occurs often enough."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= rows)
-    return df.join(counts.select(label), label, "left_semi")
+    return df.join(few(counts.select(label), "frequent labels"), label, "left_semi")

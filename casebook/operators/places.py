@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import few
+
 
 def country_counts(locations: DataFrame, links: DataFrame | None = None, fallback: bool = False) -> DataFrame:
     """Distinct incidents, or reports when links are given, per country.
@@ -48,7 +50,7 @@ def country_iso(df: DataFrame, countries: DataFrame, column: str = "country_labe
         .when(value.rlike("^[A-Za-z]{2}$"), F.upper(value))
         .otherwise(value)
     )
-    return df.withColumn("_key", key).join(keys, "_key", "left").drop("_key")
+    return df.withColumn("_key", key).join(few(keys, "countries"), "_key", "left").drop("_key")
 
 
 def map_table(counts: DataFrame) -> DataFrame:

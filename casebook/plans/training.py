@@ -26,6 +26,8 @@ class Evaluation:
     predictions: DataFrame
     pairs: DataFrame
     unseen: DataFrame
+    part_sizes: DataFrame
+    train_distribution: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
         return {
@@ -34,6 +36,8 @@ class Evaluation:
             "classification_report": evaluate.classification_report(self.pairs),
             "evaluation_metrics": evaluate.classification_metrics(self.pairs),
             "prediction_distribution": evaluate.distributions(self.pairs),
+            "part_sizes": self.part_sizes,
+            "train_distribution": self.train_distribution,
         }
 
 
@@ -90,7 +94,10 @@ def train_evaluate(
         predicted.withColumn("top_3_predictions", vectors.scores_text("top_predictions")).drop("top_predictions")
     )
     pairs = evaluate.pair_counts(predictions, "target_label", "predicted_label")
-    return Evaluation(classifier, predictions, pairs, splits.unseen_classes(train, test))
+    return Evaluation(
+        classifier, predictions, pairs, splits.unseen_classes(train, test), evaluate.part_sizes(train, test),
+        evaluate.label_counts(train, "target_label"),
+    )
 
 
 def save_evaluation(result: Evaluation, folder: str) -> None:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 # Settings every plan in this package assumes. Partition counts are left to
@@ -52,6 +53,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame, what: str, limit: int = 100_000) -> DataFrame:
+    """A table of at most ``limit`` rows, written once and marked for broadcast; more rows raise.
+
+    For one row per class, cluster or country that joins a large table: the
+    large side is then not shuffled on a key with few values.
+    """
+    small = written_table(df.limit(limit + 1))
+    if small.count() > limit:
+        raise ValueError(f"More than {limit} {what}.")
+    return F.broadcast(small)
+
+
 def written_table(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     """Write once to the shared folder and read back.
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casebook.operators import clusters, features, models, neighbours
+from casebook.session import few
 from casebook.plans import clustering, scoring, training
 from casebook.streaming import reports as stream
 
@@ -103,6 +104,12 @@ def test_keywords_and_examples(docs):
     assert "zoo" in best[0] and "shed" in best[1]
 
 
+def test_checked_broadcast(spark):
+    assert "Broadcast" in spark.range(9).join(few(spark.range(3), "rows"), "id")._jdf.queryExecution().toString()
+    with pytest.raises(ValueError, match="More than 2 rows"):
+        few(spark.range(3), "rows", 2)
+
+
 def test_noise_name_and_metadata(spark):
     df = spark.createDataFrame(
         [(-1, 1, "a", "x | y"), (0, 2, "b", "x"), (0, 2, "b", None)], "cluster_label int, incident_id int, incident_title string, sector string"
@@ -191,6 +198,9 @@ def test_train_evaluate(spark, docs, tmp_path):
     assert result.predictions.count() == 7 and result.unseen.isEmpty()
     training.save_evaluation(result, str(tmp_path / "e"))
     assert spark.read.parquet(str(tmp_path / "e" / "evaluation_metrics")).first()["accuracy"] >= 0.8
+    sizes = {r["part"]: (r["n_rows"], r["n_groups"]) for r in spark.read.parquet(str(tmp_path / "e" / "part_sizes")).collect()}
+    assert sizes["test"] == (7, 7) and sizes["train"][0] + 7 == frame.count()
+    assert spark.read.parquet(str(tmp_path / "e" / "train_distribution")).agg(F.sum("n_rows")).first()[0] == sizes["train"][0]
     with pytest.raises(ValueError, match="Missing required column.*nothing"):
         training.train_evaluate(frame, "nothing")
     with pytest.raises(ValueError, match="both train and test"):
