@@ -130,16 +130,13 @@ def split_summary(df: DataFrame) -> DataFrame:
 
 
 def catalog_metadata(incidents: DataFrame, risks: DataFrame, reports: DataFrame) -> DataFrame:
-    """One row: year bounds, sorted categories and sources, and what is present."""
-    i = incidents.agg(
-        F.min("incident_year").alias("incident_year_min"),
-        F.max("incident_year").alias("incident_year_max"),
-        (F.count(F.lit(1)) > 0).alias("has_incidents"),
-    )
-    c = risks.filter("risk_category <> ''").agg(F.array_sort(F.collect_set("risk_category"))).scalar()
-    s = reports.agg(F.array_sort(F.collect_set("source_domain"))).scalar()
-    return i.select("*", c.alias("risk_categories"), s.alias("source_domains")).select(
-        "*",
-        (F.size("risk_categories") > 0).alias("has_risk"),
-        (F.size("source_domains") > 0).alias("has_reports"),
+    """(kind, value) rows: the years' bounds, the sizes, every category and every source."""
+    facts = incidents.agg(
+        F.min("incident_year").alias("incident_year_min"), F.max("incident_year").alias("incident_year_max"), F.count(F.lit(1)).alias("n_incidents")
     )
+    n_risks, n_reports = (t.agg(F.count(F.lit(1)).cast("string")).scalar() for t in (risks, reports))
+    facts = facts.select(*[F.col(c).cast("string").alias(c) for c in facts.columns], n_risks.alias("n_risks"), n_reports.alias("n_reports"))
+    bounds = facts.unpivot([], facts.columns, "kind", "value")
+    categories = risks.filter("risk_category <> ''").select(F.lit("risk_category").alias("kind"), F.col("risk_category").alias("value")).distinct()
+    sources = reports.filter("source_domain IS NOT NULL").select(F.lit("source_domain").alias("kind"), F.col("source_domain").alias("value")).distinct()
+    return bounds.unionByName(categories).unionByName(sources)

@@ -468,10 +468,11 @@ def table_profile(spark, sf):
     return catalog.table_profile(tables, {n: r for n, _, r in _PROFILED if r})
 
 
-@query(f"""WITH {INCIDENTS}, {RISKS}, {LINKS} SELECT min(incident_year) AS incident_year_min, max(incident_year) AS incident_year_max,
-  count(*) > 0 AS has_incidents, true AS has_risk, true AS has_reports,
-  (SELECT string_agg(DISTINCT risk_category, '; ' ORDER BY risk_category) FROM rsk) AS risk_categories,
-  (SELECT string_agg(DISTINCT source_domain, '; ' ORDER BY source_domain) FROM rep) AS source_domains FROM inc""")
+@query(f"""WITH {INCIDENTS}, {RISKS}, {LINKS}
+  SELECT 'incident_year_min' AS kind, CAST(min(incident_year) AS VARCHAR) AS value FROM inc UNION ALL SELECT 'incident_year_max', CAST(max(incident_year) AS VARCHAR) FROM inc
+  UNION ALL SELECT 'n_incidents', CAST(count(*) AS VARCHAR) FROM inc UNION ALL SELECT 'n_risks', CAST(count(*) AS VARCHAR) FROM rsk
+  UNION ALL SELECT 'n_reports', CAST(count(*) AS VARCHAR) FROM rep
+  UNION ALL SELECT DISTINCT 'risk_category', risk_category FROM rsk WHERE risk_category <> ''
+  UNION ALL SELECT DISTINCT 'source_domain', source_domain FROM rep WHERE source_domain IS NOT NULL""")
 def catalog_metadata(spark, sf):
-    meta = corpus.catalog_metadata(roles.incidents(spark, sf), roles.risks(spark, sf), roles.reports(spark, sf))
-    return meta.withColumns({c: F.array_join(c, "; ") for c in ("risk_categories", "source_domains")})
+    return corpus.catalog_metadata(roles.incidents(spark, sf), roles.risks(spark, sf), roles.reports(spark, sf))
