@@ -11,6 +11,7 @@ grows, until that sequence is empty or nothing helps.
 
 from __future__ import annotations
 
+import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +35,7 @@ class PackSettings:
     capacity: int = 4096
     end_id: int = 1
     group: int = 16_384
-    known: int = 1_500_000
+    known: int = 600_000
     tries: int = 4000
 
 
@@ -45,7 +46,8 @@ class Encoder:
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.limit = s.known
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
+        self.limit, self.at_once = s.known, 2000
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(s.vocabulary))
         self._forget()
 
@@ -62,9 +64,12 @@ class Encoder:
         if len(new):
             raw, starts, ends = words.data, words.starts[where[new]], words.ends[where[new]]
             texts = [raw[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist())]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            sizes = np.concatenate([np.diff(self.first), np.array([len(x) for x in found], np.int64)])
-            ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
+            sizes, ids = [np.diff(self.first)], [self.ids]
+            for i in range(0, len(texts), self.at_once):  # encodings are large objects
+                found = [x.ids for x in self.tokenizer.encode_batch_fast(texts[i : i + self.at_once], add_special_tokens=False)]
+                sizes.append(np.array([len(x) for x in found], np.int64))
+                ids.append(np.array([i for x in found for i in x], np.uint32))
+            sizes, ids = np.concatenate(sizes), np.concatenate(ids)
             hashes = np.concatenate([self.hashes, each[new]])
             order = np.argsort(hashes)
             self.ids = ids[_ragged((np.cumsum(sizes) - sizes)[order], sizes[order])]
