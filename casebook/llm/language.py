@@ -112,7 +112,15 @@ def count_words(docs: DataFrame) -> DataFrame:
 def frequent(counts: DataFrame, s: LanguageSettings) -> Table:
     """The table of frequent words; ``head`` rows reach the driver."""
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.col("n").desc(), "word").limit(s.head).toArrow()
+    # few rows of each partition meet in one task: words below the size that ``head`` words reach are left out first
+    step = F.floor(F.log2("n") * 8)
+    sizes = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect()
+    least, words = 0, 0
+    for r in sizes:
+        least, words = r["step"], words + r["words"]
+        if words >= s.head:
+            break
+    top = counts.filter(step >= least).orderBy(F.col("n").desc(), "word").limit(s.head).toArrow()
     word, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
     inner = min(s.inner, len(n))
     mass = np.cumsum(n[:inner]) / max(n[:inner].sum(), 1)
