@@ -57,24 +57,25 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     nodes = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("up"))
     linked = nodes.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("up")), "left")
-    jumps = [cut_lineage(linked.select("tree", "node", "up", F.col("score").alias("total"), F.lit(1).cast("bigint").alias("depth")))]
-    while not (last := jumps[-1]).filter("up IS NOT NULL").isEmpty():
+    state = cut_lineage(linked.select("tree", "node", "up", F.col("score").alias("total"), F.lit(1).cast("bigint").alias("depth")))
+    jumps = [state.filter("up IS NOT NULL")]
+    while not jumps[-1].isEmpty():
         if len(jumps) > MAX_ROUNDS:
             raise ValueError("the replies form a cycle")
-        over = last.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("total").alias("more"), F.col("depth").alias("deeper"))
-        both = last.join(over, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
-        jumps.append(cut_lineage(both.select(
-            "tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-            (F.col("depth") + F.coalesce("deeper", F.lit(0))).alias("depth"),
-        )))
-    answered = jumps[0].filter("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
-    leaves = jumps[-1].join(answered, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "leftanti")
+        over = state.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("total").alias("more"), F.col("depth").alias("deeper"))
+        # messages that have reached their root are done; the others jump on
+        both = jumps[-1].join(over, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")))
+        further = both.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("depth") + F.col("deeper")).alias("depth"))
+        state = cut_lineage(state.filter("up IS NULL").unionByName(further))
+        jumps.append(state.filter("up IS NOT NULL"))
+    answered = jumps[0].select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
+    leaves = state.join(answered, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "leftanti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy((F.col("total") / F.col("depth")).desc(), "node"))
     path = leaves.withColumn("rank", rank).filter(F.col("rank") <= branches).select(
         "tree", F.col("node").alias("leaf"), "rank", "node", F.col("depth").alias("place")
     )
     for k in range(len(jumps) - 2, -1, -1):  # every distance is a sum of powers of two
-        jump = jumps[k].filter("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+        jump = jumps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         step = path.join(jump, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left")
         here = F.struct(F.col("node").alias("node"), F.col("place").alias("place"))
         there = F.struct(F.col("up").alias("node"), (F.col("place") - 2**k).alias("place"))
