@@ -5,10 +5,12 @@ gives a reference tree; every page is aligned with it by simple tree matching.
 Counts over all pages of the host then tell template nodes, whose text stays
 the same, from slots, whose text varies, and the slot with the most varying
 text, with its siblings, from the others. Runs of like siblings count as one node, so that lists
-and paragraphs of any length align. What is left in the article, or in that
-slot on pages without one, is the text; menus, headers, footers, side bars,
-notices, adverts, forms and reader comments are known by their elements and
-class names.
+and paragraphs of any length align. That slot, with the article around it, is
+the text on every page that has it, without constant nodes and the elements
+for menus, footers, side bars and forms. Class names are evidence only: text
+under one counts a quarter when the slot is chosen. Where no slot is known,
+as on a host with a single page, articles, else all blocks are the text, and
+class names tell menus, notices, adverts and reader comments.
 """
 
 from __future__ import annotations
@@ -36,25 +38,37 @@ BLOCK = frozenset(
     "hr html li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 SKIPPED = frozenset("nav footer aside form menu dialog button select head".split())
-SKIPPED_NAMES = frozenset(
+_NAMES = (
     "ad ads advert adverts advertisement adbox banner sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs footer "
     "comment comments disqus respond replies cookie cookies consent notice popup modal newsletter subscribe subscription share sharing social "
-    "related recommended widget toolbar login search pagination pager copyright".split()
-)
+    "related recommended widget toolbar login search pagination pager copyright"
+).split()
+_ENDINGS = "area banner bar block box buttons container form items links list menu posts section widget wrap wrapper".split()
+_FRONTS = "bottom left main page right site top".split()
+#: Whole tokens of class or role.
+SKIPPED_NAMES = frozenset(
+    _NAMES + ["contentinfo", "complementary"] + [f"{x}{d}{e}" for x in _NAMES for e in _ENDINGS for d in "-_"]
+    + [f"{e}{d}{x}" for x in ("ad", "banner", "footer", "menu", "nav", "navigation", "sidebar") for e in _FRONTS for d in "-_"]
+)
+UNNAMED = frozenset("root html body main article h1 h2 h3 h4 h5 h6".split())  # no name leaves these out
+BOXES = frozenset("div section ul ol dl table details header address".split())  # inside an article names leave out only these
+PAGE = frozenset("root html body".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^'\">]|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_MARK = re.compile(r"(?<![^\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
 class Node:
     """A block element: what it holds in order, text and nodes."""
 
-    __slots__ = ("tag", "marks", "parts", "parent")
+    __slots__ = ("tag", "marks", "named", "parts", "parent")
 
-    def __init__(self, tag: str, marks: str = "", parent: Node | None = None):
-        self.tag, self.marks, self.parts, self.parent = tag, marks, [], parent
+    def __init__(self, tag: str, token: str = "", parent: Node | None = None):
+        self.tag, self.parts, self.parent = tag, [], parent
+        self.marks, self.named = _marks(token) if "=" in token else ("", False)
+        self.named = self.named and tag not in UNNAMED
 
     @property
     def label(self) -> str:
@@ -62,7 +76,7 @@ class Node:
 
     @property
     def skipped(self) -> bool:
-        return self.tag in SKIPPED or any(x in SKIPPED_NAMES for x in re.split(r"[-_\s]+", self.marks))
+        return self.tag in SKIPPED
 
 
 def parse(page: str) -> Node:
@@ -82,7 +96,7 @@ def parse(page: str) -> Node:
             node = here
             while node is not None and node.tag != tag:
                 node = node.parent
-            if tag in BLOCK and node is not None:
+            if node is not None and (tag in BLOCK or node is here):
                 here = node.parent or root
             continue
         if tag in RAW:
@@ -93,28 +107,32 @@ def parse(page: str) -> Node:
         if tag == "br" or tag not in BLOCK and tag not in VOID:
             if tag == "br":
                 here.parts.append(" ")
-            if not Node(tag, _marks(token)).skipped:
+                continue
+            if tag not in SKIPPED:
+                if not token.endswith("/>") and (node := Node(tag, token, here)).named:  # an inline advert or the like
+                    here.parts.append(node)
+                    here = node
                 continue
         if tag in VOID:
             continue
-        while here.tag == "p" and tag in BLOCK:
+        while tag in BLOCK and (here.tag == "p" or here.tag not in BLOCK and here is not root):
             here = here.parent
         while here.parent is not None and here.tag in CLOSED_BY.get(tag, ()):
             here = here.parent
         if tag in BLOCK:
-            node = Node(tag, _marks(token), here)
+            node = Node(tag, token, here)
             here.parts.append(node)
             here = node
-        elif not token.endswith("/>"):  # an inline advert or button: left out as a whole
+        elif not token.endswith("/>"):  # an inline button: left out as a whole
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else at
     return root
 
 
-def _marks(token: str) -> str:
-    if "=" not in token:
-        return ""
-    return " ".join(sorted({x for m in _MARK.findall(token) for y in m for x in y.lower().split()}))
+def _marks(token: str) -> tuple[str, bool]:
+    """Class, id and role of a tag, and whether a whole token of class or role is a skipped name."""
+    found = [(kind.lower(), x) for kind, *values in _MARK.findall(token) for y in values for x in y.lower().split()]
+    return " ".join(sorted({x for _, x in found})), any(kind != "id" and x in SKIPPED_NAMES for kind, x in found)
 
 
 @dataclass
@@ -227,7 +245,7 @@ def _aligned(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 equal = text_number(text) == texts[number]
                 pages[host, number] += 1
                 same[host, number] += equal
-                chars[host, number] += 0 if equal else len(text)
+                chars[host, number] += 0 if equal else len(text) * weight(group.nodes[0]) // 4
         keys = list(pages)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64())]
@@ -236,32 +254,89 @@ def _aligned(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def weight(node: Node | None) -> int:
+    """Evidence that a node is text: 0 in a menu, form or the like, 1 under a skipped name, else 4."""
+    out = 4
+    while node is not None:
+        if node.skipped:
+            return 0
+        out, node = 1 if node.named else out, node.parent
+    return out
+
+
+def _distinct(nodes: list[Node | None]) -> list[Node]:
+    return list({id(x): x for x in nodes if x is not None}.values())
+
+
+def _around(nodes: list[Node]) -> list[Node]:
+    """The slot of a run of nodes: their parent and its siblings' parent, then the article or main element around it."""
+    slot = _distinct([x.parent for x in nodes])
+    while len(slot) > 1 and any(x.tag != "article" for x in slot):
+        above = _distinct([x.parent for x in slot])
+        if any(x.tag in PAGE for x in above):
+            break
+        slot = above
+    out = []
+    for node in slot:
+        best, main, up = None, None, node
+        while up is not None:
+            best, main = up if up.tag == "article" else best, up if up.tag == "main" else main
+            up = up.parent
+        if best is None and main is not None and not _found(main, "article"):
+            best = main
+        out.append(best or node)
+    return _distinct(out)
+
+
+def _found(node: Node, tag: str) -> list[Node]:
+    """Outermost elements of a tag that are not in a skipped element."""
+    out = []
+    for x in node.parts:
+        if isinstance(x, Node) and not x.skipped:
+            out.extend([x] if x.tag == tag else _found(x, tag))
+    return out
+
+
+def _size(node: Node, left_out) -> int:
+    return sum(len(x.strip()) if isinstance(x, str) else 0 if left_out(x) else _size(x, left_out) for x in node.parts)
+
+
 def text_of(page: str, tree: list | None, constant: frozenset[int], main: int | None) -> str:
     """Blocks of the main text, joined by line breaks."""
     root = parse(page)
-    groups = grouped([x for x in root.parts if isinstance(x, Node)])
     dropped: set[int] = set()
     slot: list[Node] = []
     if tree and (constant or main is not None):
-        for number, group in match(tree, groups)[1]:
+        for number, group in match(tree, grouped([x for x in root.parts if isinstance(x, Node)]))[1]:
             if number in constant:
                 dropped.update(map(id, group.nodes))
-            if number == main:  # with its siblings, such as headings
-                slot = list({id(x.parent): x.parent for x in group.nodes}.values())
-    articles: list[Node] = []
-
-    def find(node: Node, tag: str) -> None:
-        for x in node.parts:
-            if isinstance(x, Node) and not x.skipped:
-                if x.tag == tag:
-                    articles.append(x)
-                else:
-                    find(x, tag)
-
-    for tag in ("article", "main"):
-        if not articles:
-            find(root, tag)
-    inside = bool(articles)
+            if number == main:
+                slot = _around(group.nodes)
+    known = bool(slot) and slot[0].tag not in PAGE  # then names decide nothing inside
+    inside = known
+    articles = _found(root, "article")
+
+    def left_out(x: Node) -> bool:
+        if x.skipped or x.tag == "header" and not inside:
+            return True
+        if known or not x.named or inside and x.tag not in BOXES:
+            return False
+        held = _found(x, "article")  # a layout class around the whole page is no evidence
+        return not (articles and len(held) == len(articles) or _found(x, "main"))
+
+    if not slot:
+        shown: list[Node] = []
+
+        def show(node: Node) -> None:
+            for x in node.parts:
+                if isinstance(x, Node) and not left_out(x):
+                    shown.append(x) if x.tag == "article" else show(x)
+
+        show(root)
+        if len(shown) > 1 and 2 * sum(_size(x, left_out) for x in shown) < _size(root, left_out):
+            shown = []  # teasers beside the text
+        slot = shown or _found(root, "main")
+        inside = bool(slot)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -272,17 +347,21 @@ def text_of(page: str, tree: list | None, constant: frozenset[int], main: int |
             blocks.append(text)
 
     def walk(node: Node) -> None:
-        flush()
+        block = node.tag in BLOCK or node is root
+        if block:
+            flush()
         for x in node.parts:
             if isinstance(x, str):
                 if id(node) not in dropped:
                     line.append(x)
-            elif not x.skipped and (inside or x.tag != "header"):
+            elif not left_out(x):
                 walk(x)
-        flush()
+        if block:
+            flush()
 
-    for node in articles or slot or [root]:
+    for node in slot or [root]:
         walk(node)
+    flush()
     return "\n".join(blocks)
 
 
@@ -313,7 +392,7 @@ def wrappers(pages: DataFrame, least: int = 8, percent: int = 80) -> DataFrame:
     counts = pages.select("host", "html").join(trees, "host", "left").mapInArrow(_aligned, "host string, node bigint, pages bigint, same bigint, chars bigint")
     sums = counts.groupBy("host", "node").agg(*(F.sum(c).alias(c) for c in ("pages", "same", "chars")))
     constant = F.collect_list(F.when((F.col("pages") >= least) & (100 * F.col("same") >= percent * F.col("pages")), F.col("node")))
-    found = sums.groupBy("host").agg(constant.alias("constant"), F.max_by("node", F.struct("chars", -F.col("node"))).alias("main"))
+    found = sums.groupBy("host").agg(constant.alias("constant"), F.max_by(F.when(F.col("chars") > 0, F.col("node")), F.struct("chars", -F.col("node"))).alias("main"))
     return written_table(trees.join(found, "host", "left"))
 
 

@@ -34,3 +34,22 @@ def test_template_of_a_host(llm, texts):
             assert text == want[i]
     assert {i: t[:9] for i, t, _ in got if i >= 100} == {100: "", 101: "", 102: "lonely", 103: "long long"}
     assert wrappers.extract(df.limit(0)).count() == 0
+
+
+def test_names_are_evidence_only(llm, texts):
+    """Slots choose the text on all pages; ids, parts of class names and layout classes leave nothing out."""
+    parts = '<h2 id="social-impact">{}</h2><section id="related-work"><p>{}</p></section><p class="notice">{} <span class="notice">{}</span></p><div class="share">{}</div>'
+    pages, want = [], {}
+    for i in range(12):
+        b = [texts.prose(15) for _ in range(6)]
+        # the body in a div, teaser cards as articles
+        cards = "".join(f"<article class='card'><p>{texts.prose(3)}</p></article>" for _ in range(3))
+        pages.append((i, f"https://cards.example/{i}", f"<body><div class='content'><h1>{b[0]}</h1><p>{b[1]}</p><p>{b[2]}</p></div>{cards}</body>"))
+        want[i] = "\n".join(b[:3])
+        pages.append((100 + i, f"https://names.example/{i}", f"<body><article class='post category-social'>{parts.format(*b)}<p>{b[5]}</p></article><div class='comments'><p>hi</p></div></body>"))
+        want[100 + i] = "\n".join([b[0], b[1], f"{b[2]} {b[3]}", b[4], b[5]])
+    b = [texts.prose(15) for _ in range(5)]
+    pages.append((200, "https://single.example/1", f"<body class='right-sidebar'><article class='post category-social'>{parts.format(*b)}</article></body>"))
+    want[200] = "\n".join([b[0], b[1], f"{b[2]} {b[3]}"])
+    got = {r.page_id: r.text for r in wrappers.extract(llm.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got == want
