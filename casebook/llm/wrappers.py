@@ -1,8 +1,9 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host share a template. A page of each host, the first by a hash,
-gives a reference tree; every page is aligned with it by simple tree matching.
-Counts over all pages of the host then tell template nodes, whose text stays
+Pages of a host share a few templates, told by their containers. A page of each
+template, the first by a hash, gives a reference tree; every page is aligned
+with it by simple tree matching. Counts over the different pages of the
+template, copies counted once, then tell template nodes, whose text stays
 the same, from slots, whose text varies, and the slot with the most varying
 text, with its siblings, from the others. Runs of like siblings count as one node, so that lists
 and paragraphs of any length align. That slot, with the article around it, is
@@ -18,14 +19,13 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written_table
@@ -220,38 +220,50 @@ def _texts(tree: list) -> dict[int, int]:
 def _references(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in table:
         trees = [json.dumps(reference(x or "")) for x in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(trees, pa.string())], ["host", "tree"])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("kind"), pa.array(trees, pa.string())], ["host", "kind", "tree"])
+
+
+def _content(node: Node) -> Iterator[str]:
+    """What a page shows but for menus, adverts and the like: alike on copies that differ in these."""
+    for x in node.parts:
+        if isinstance(x, str):
+            yield x
+        elif weight(x) == 4 and x.tag != "header":
+            yield f"<{x.tag}>"
+            yield from _content(x)
+
+
+_ALIGNED = "host string, kind bigint, content bigint, node bigint, same boolean, chars bigint"
 
 
 def _aligned(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, node, pages, same, chars) over the pages of a batch."""
-    trees: dict[str, tuple[list, dict]] = {}
+    """(host, kind, content, node, same, chars) of the pages of a batch; rows of the same content are copies."""
+    trees: dict[tuple, tuple[list, dict]] = {}
     for batch in table:
-        pages: Counter = Counter()
-        same: Counter = Counter()
-        chars: Counter = Counter()
-        for host, page, tree in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "tree"))):
+        out: dict[tuple, tuple[bool, int]] = {}
+        seen: set[tuple] = set()
+        for host, kind, page, tree in zip(*(batch.column(c).to_pylist() for c in ("host", "kind", "html", "tree"))):
             if not page or tree is None:
                 continue
-            if host not in trees:
+            root = parse(page)
+            copy = host, kind, text_number(_SPACE.sub(" ", "".join(_content(root))).strip())
+            if copy in seen:
+                continue
+            seen.add(copy)
+            if copy[:2] not in trees:
                 if len(trees) > 2000:
                     trees.clear()
                 known = json.loads(tree)
-                trees[host] = known, _texts(known)
-            known, texts = trees[host]
-            _, pairs = match(known, grouped([x for x in parse(page).parts if isinstance(x, Node)]))
+                trees[copy[:2]] = known, _texts(known)
+            known, texts = trees[copy[:2]]
+            _, pairs = match(known, grouped([x for x in root.parts if isinstance(x, Node)]))
             for number, group in pairs:
                 text = own_text(group)
                 equal = text_number(text) == texts[number]
-                pages[host, number] += 1
-                same[host, number] += equal
-                chars[host, number] += 0 if equal else len(text) * weight(group.nodes[0]) // 4
-        keys = list(pages)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64())]
-            + [pa.array([c[k] for k in keys], pa.int64()) for c in (pages, same, chars)],
-            ["host", "node", "pages", "same", "chars"],
-        )
+                out[*copy, number] = equal, 0 if equal else len(text) * weight(group.nodes[0]) // 4
+        columns = list(zip(*((*k, *v) for k, v in out.items()))) or [()] * 6
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["host", "kind", "content", "node", "same", "chars"])
 
 
 def weight(node: Node | None) -> int:
@@ -366,47 +378,66 @@ def text_of(page: str, tree: list | None, constant: frozenset[int], main: int |
 
 
 def _extracted(table: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
-    trees: dict[str, tuple] = {}
+    trees: dict[tuple, tuple] = {}
     for batch in table:
         out = []
-        for host, page, tree, constant, main in zip(*(batch.column(c).to_pylist() for c in ("_host", "_html", "_tree", "_constant", "_main"))):
-            if tree is not None and host not in trees:
+        for host, kind, page, tree, constant, main in zip(*(batch.column(c).to_pylist() for c in ("_host", "_kind", "_html", "_tree", "_constant", "_main"))):
+            if tree is not None and (host, kind) not in trees:
                 if len(trees) > 2000:
                     trees.clear()
-                trees[host] = json.loads(tree), frozenset(constant or ()), main
-            out.append(text_of(page or "", *(trees[host] if tree is not None else (None, frozenset(), None))))
+                trees[host, kind] = json.loads(tree), frozenset(constant or ()), main
+            out.append(text_of(page or "", *(trees[host, kind] if tree is not None else (None, frozenset(), None))))
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], [*columns, "text", "n_chars"])
 
 
+def template(html: str) -> Column:
+    """A number of the containers of a page: its distinct openings of body, main, article, section, header and div, with their classes but for digits and skipped names."""
+    names = "|".join(sorted(SKIPPED_NAMES))
+    tags = F.expr(f"regexp_extract_all({html}, '(?i)<(?:body|main|article|section|header|div)\\\\b[^>]*>', 0)")
+
+    def kept(x: Column) -> Column:
+        marks = F.regexp_extract(x, r"(?i)\sclass\s*=\s*[\x22']?([^\x22'>]*)", 1)
+        return F.lower(F.concat_ws(" ", F.regexp_extract(x, r"<(\w+)", 1), F.regexp_replace(marks, r"\d+", "")))
+
+    known = F.filter(F.transform(tags, kept), lambda x: ~x.rlike(rf"\s(?:{names})(?:\s|$)"))
+    return F.coalesce(F.xxhash64(F.array_sort(F.array_distinct(known))), F.lit(0))
+
+
 def wrappers(pages: DataFrame, least: int = 8, percent: int = 80) -> DataFrame:
-    """(host, tree, constant, main): the wrapper of each host.
+    """(host, kind, tree, constant, main): the wrapper of each template of a host.
 
-    A node is constant if it was met on at least ``least`` pages and has the
-    reference's text on ``percent`` of them. ``main`` is the node with the most
-    varying text.
+    A node is constant if it was met on at least ``least`` different pages and
+    has the reference's text on ``percent`` of them. ``main`` is the node with
+    the most varying text.
     """
-    pages = pages.select("host", "html", F.xxhash64("url", "html").alias("rank")).filter("html IS NOT NULL AND html <> ''")
-    firsts = written_table(pages.groupBy("host").agg(F.min("rank").alias("rank")))
-    trees = pages.join(firsts, ["host", "rank"]).dropDuplicates(["host"]).mapInArrow(_references, "host string, tree string")
+    pages = pages.select("host", "kind", "html", F.xxhash64("html").alias("rank")).filter("html IS NOT NULL AND html <> ''")
+    firsts = written_table(pages.groupBy("host", "kind").agg(F.min("rank").alias("rank")))
+    trees = pages.join(firsts, ["host", "kind", "rank"]).dropDuplicates(["host", "kind"]).mapInArrow(_references, "host string, kind bigint, tree string")
     trees = written_table(trees)  # read back with its size, by which Spark picks the join below
-    counts = pages.select("host", "html").join(trees, "host", "left").mapInArrow(_aligned, "host string, node bigint, pages bigint, same bigint, chars bigint")
-    sums = counts.groupBy("host", "node").agg(*(F.sum(c).alias(c) for c in ("pages", "same", "chars")))
+    met = pages.select("host", "kind", "html").join(trees, ["host", "kind"], "left").mapInArrow(_aligned, _ALIGNED)
+    once = met.groupBy("host", "kind", "node", "content").agg(F.max("same").alias("same"), F.max("chars").alias("chars"))
+    sums = once.groupBy("host", "kind", "node").agg(F.count(F.lit(1)).alias("pages"), F.count_if("same").alias("same"), F.sum("chars").alias("chars"))
     constant = F.collect_list(F.when((F.col("pages") >= least) & (100 * F.col("same") >= percent * F.col("pages")), F.col("node")))
-    found = sums.groupBy("host").agg(constant.alias("constant"), F.max_by(F.when(F.col("chars") > 0, F.col("node")), F.struct("chars", -F.col("node"))).alias("main"))
-    return written_table(trees.join(found, "host", "left"))
+    main = F.max_by(F.when(F.col("chars") > 0, F.col("node")), F.struct("chars", -F.col("node")))
+    found = sums.groupBy("host", "kind").agg(constant.alias("constant"), main.alias("main"), F.max("pages").alias("pages"))
+    return written_table(trees.join(found, ["host", "kind"], "left"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Columns of ``pages`` but html, with text and n_chars.
 
     Null or empty html gives an empty text. Pages with a null url count as one
-    host. Broken markup is read as far as it goes: an element that is not
+    host. A page whose template no other page of the host has is aligned with
+    the most frequent template. Broken markup is read as far as it goes: an element that is not
     closed ends with its parent, and a stray "<" is text.
     """
     columns = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    found = wrappers(pages.select("url", "html", host.alias("host")))
-    known = pages.select(*columns, F.col("html").alias("_html"), host.alias("_host"))
-    both = known.join(found.select(*(F.col(c).alias(f"_{c}") for c in found.columns)), "_host", "left")
+    found = wrappers(pages.select("html", host.alias("host"), template("html").alias("kind")))
+    usual = found.groupBy("host").agg(F.max_by(F.struct("tree", "constant", "main", "kind"), F.struct("pages", "kind")).alias("usual"))
+    found = found.join(usual, "host").withColumn("own", F.when(F.col("pages") > 1, F.struct("tree", "constant", "main")))
+    found = found.select("host", "kind", *(F.when(F.col("own").isNull(), F.col("usual")[c]).otherwise(F.col("own")[c]).alias(c) for c in ("tree", "constant", "main")))
+    known = pages.select(*columns, F.col("html").alias("_html"), host.alias("_host"), template("html").alias("_kind"))
+    both = known.join(written_table(found).select(*(F.col(c).alias(f"_{c}") for c in found.columns)), ["_host", "_kind"], "left")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*columns).schema)
     return both.mapInArrow(partial(_extracted, columns=columns), f"{kinds}, text string, n_chars bigint")

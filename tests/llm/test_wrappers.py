@@ -53,3 +53,21 @@ def test_names_are_evidence_only(llm, texts):
     want[200] = "\n".join([b[0], b[1], f"{b[2]} {b[3]}"])
     got = {r.page_id: r.text for r in wrappers.extract(llm.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
     assert got == want
+
+
+def test_copies_and_templates(llm, texts):
+    """Copies of a page count once, and each template of a host has its wrapper."""
+    pages, want = [], {}
+    copy = [texts.prose(20) for _ in range(3)]
+    for i in range(40):  # a page in many copies, that differ in an advert
+        ad = f"<div class='ad'>{texts.prose(4)}</div><script>track({i})</script>"
+        pages.append((i, f"https://copies.example/{i}", f"<body>{ad}<article><h1>{copy[0]}</h1><p>{copy[1]}</p><p>{copy[2]}</p></article></body>"))
+        want[i] = "\n".join(copy)
+    for i in range(40, 52):  # two templates
+        b = [texts.prose(15) for _ in range(3)]
+        pages.append((i, f"https://two.example/{i}", f"<body><div class='post'><h1>{b[0]}</h1><p>{b[1]}</p></div><div class='legal'><p>{texts.prose(3)}</p></div><p>All kept</p></body>"))
+        want[i] = "\n".join(b[:2])
+        pages.append((i + 100, f"https://two.example/{i}", f"<body><div class='top'><p>Our second site</p></div><div class='story'><h2>{b[0]}</h2><p>{b[2]}</p></div></body>"))
+        want[i + 100] = f"{b[0]}\n{b[2]}"
+    got = {r.page_id: r.text for r in wrappers.extract(llm.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got == want
