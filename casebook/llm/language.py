@@ -3,7 +3,7 @@
 Counts cover all training texts. The most frequent words are inner words of
 the network, further ones stand in classes of about equal mass, and all others
 in a last class; within such a class a word has its share of the class's count.
-The network is trained on a stretch of every training text: each partition
+The network is trained on every token of the training texts: each partition
 runs truncated backpropagation from the same weights, and the weights are
 averaged by the words seen. Only the table of frequent words, whose size is a
 parameter, and the weights go to the tasks; other words meet their counts in a
@@ -30,7 +30,7 @@ END = np.uint64(0x5DEECE66D1234567)
 
 @dataclass(frozen=True)
 class LanguageSettings:
-    """``head`` words are sent to the tasks. Training takes one window in ``share`` of each text, in each of ``rounds``."""
+    """``head`` words are sent to the tasks. Training takes one window in ``share`` of each text (1: all, the state carried), in each of ``rounds``."""
 
     head: int = 200_000
     inner: int = 1024
@@ -38,8 +38,8 @@ class LanguageSettings:
     outer_classes: int = 16
     hidden: int = 12
     window: int = 32
-    share: int = 16
-    rounds: int = 2
+    share: int = 1
+    rounds: int = 1
     rate: float = 0.02
     side: int = 512
     hold: int = 6_000_000
@@ -158,8 +158,10 @@ def _trained(batches: Iterator[pa.RecordBatch], table: Table, weights: np.ndarra
         skip = W.mix(np.add.reduceat(h, first[:-1]) + np.uint64(turn)) % np.maximum(windows - take + 1, 1).astype(np.uint64)
         start = first[:-1] + skip.astype(np.int64) * s.window
         length = np.minimum(take * s.window, first[1:] - start)
+        order = np.argsort(length, kind="stable")  # texts of about a length run side by side
         for i in range(0, len(start), s.side):
-            seen += trainer.learn(ids, start[i : i + s.side], length[i : i + s.side], s.window)
+            rows = order[i : i + s.side]
+            seen += trainer.learn(ids, start[rows], length[rows], s.window)
     if seen:
         v = gru.flat(trainer.w)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v.astype(np.float64)), pa.array(np.full(len(v), seen, np.int64))], ["place", "value", "seen"])

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import plain
@@ -68,3 +69,21 @@ def test_counts_and_scores(llm, texts, odd):
     out = language.score(odd, F.col("doc_id") > 100, s)
     assert out.count() == odd.count() and out.columns.count("score") == 1
     assert language.score(df.limit(0), F.lit(True), s).count() == 0
+
+
+def test_network_learns_from_all_tokens(texts, monkeypatch):
+    """Every word of every text is a target once a round, long texts too."""
+    docs = [texts.prose(n) for n in (0, 1, 31, 32, 33, 700, 5000)]
+    s = language.LanguageSettings()
+    batch = pa.RecordBatch.from_pydict({"text": docs})
+    h, first = language._tokens(batch)
+    word, n = np.unique(h, return_counts=True)
+    shape = gru.Shape((0, 2), 3, s.hidden)
+    start = np.searchsorted(word, np.arange((1 << 20) + 1, dtype=np.uint64)[:-1] << np.uint64(44)).astype(np.int32)
+    table = language.Table(word, (np.arange(len(word)) % 5).astype(np.int16), n, np.zeros(len(word)), start, shape, len(h), len(word))
+    steps = []
+    step = gru.Trainer._step
+    monkeypatch.setattr(gru.Trainer, "_step", lambda self, states, targets, owners, trace: (steps.extend(targets), step(self, states, targets, owners, trace)))
+    out = list(language._trained(iter([batch]), table, gru.flat(gru.initial(shape, np.ones(5))), 0, s))
+    assert out[0].column("seen")[0].as_py() == len(h)
+    assert np.array_equal(np.bincount(np.concatenate(steps), minlength=5), np.bincount(table.slot[table.find(h)], minlength=5))
