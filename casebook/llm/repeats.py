@@ -15,6 +15,9 @@ construction:
   backwards, are sorted once. The ranks of all truncations follow from the
   common prefixes of neighbours, so that two windows are equal exactly when two
   precomputed ranks are. No window is compared byte by byte.
+* A bucket of more than ``block`` places, such as a common line among ever other
+  neighbours, is not gathered: each of its windows goes to a bucket of its own
+  bytes and offset.
 
 Only cover samples, the few bytes around repeated ones, and the texts by hash
 are shuffled. Texts that are equal as a whole are compared once, and contexts
@@ -42,7 +45,7 @@ NO_DOC = (1 << 63) - 1
 
 @dataclass(frozen=True)
 class RepeatSettings:
-    """``length`` of the strings, ``sample`` bytes of a cover sample, ``block`` contexts sorted at once."""
+    """``length`` of the strings, ``sample`` bytes of a cover sample, ``block`` contexts sorted at once; samples in more places are split by window."""
 
     length: int = 100
     sample: int = 48
@@ -95,7 +98,7 @@ def cover(data: np.ndarray, offsets: np.ndarray, s: RepeatSettings) -> tuple[np.
 
 
 def _samples(table: Iterator[pa.RecordBatch], s: RepeatSettings) -> Iterator[pa.RecordBatch]:
-    """(hash, mark, twice): each cover sample of each text; ``twice`` if it occurs again in it."""
+    """(hash, mark, times): each cover sample of each text, and its places in it."""
     for batch in W.batches(table):
         text, _, lo, _, h = cover(*W.text_bytes(batch.column("text")), s)
         order = np.lexsort((lo, h, text))
@@ -103,9 +106,9 @@ def _samples(table: Iterator[pa.RecordBatch], s: RepeatSettings) -> Iterator[pa.
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
         at = np.flatnonzero(fresh)
-        many = np.diff(np.append(at, len(h))) > 1
+        times = np.diff(np.append(at, len(h)))
         marks = batch.column("mark").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(marks[text[at]]), pa.array(many)], ["hash", "mark", "twice"])
+        yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(marks[text[at]]), pa.array(times, pa.int64())], ["hash", "mark", "times"])
 
 
 def _spans(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -122,47 +125,90 @@ _CONTEXT = ["hash", "doc_id", "mark", "at", "lo", "hi", "before", "after"]
 CONTEXT_TYPES = "hash bigint, doc_id bigint, mark bigint, at bigint, lo bigint, hi bigint, before binary, after binary"
 
 
+def _hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans."""
+    out = np.zeros(len(first), np.uint64)
+    for a in range(0, len(data), SEGMENT):  # spans are short: a segment and what reaches over its end
+        b = min(len(data), a + SEGMENT + 1024)
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(W._VALUE[data[a:b]] * W._UP[: b - a], out=sums[1:])
+        here = np.flatnonzero((first >= a) & (first < a + SEGMENT))
+        x = first[here] - a
+        out[here] = (sums[x + size[here]] - sums[x]) * W._DOWN[x]
+    return out
+
+
+def _earliest(keys: np.ndarray) -> np.ndarray:
+    """Which rows are the first with their key."""
+    fresh = np.zeros(len(keys), bool)
+    fresh[np.unique(keys, return_index=True)[1]] = True
+    return fresh
+
+
 def _contexts(table: Iterator[pa.RecordBatch], s: RepeatSettings) -> Iterator[pa.RecordBatch]:
     """Bytes around the repeated cover samples of each text.
 
     A context that an earlier text or place of the batch has as well is settled
     here: its row has no bytes and ``at`` = -1, and ``lo`` to ``hi`` go.
+    Contexts of crowded samples give a row for each window, with a hash of its
+    own; windows seen earlier in the batch are settled likewise.
     """
     for batch in W.batches(table):
         data, offsets = W.text_bytes(batch.column("text"))
         text, at, lo, hi, h = cover(data, offsets, s)
-        wanted = batch.column("samples")
-        owner = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
-        wanted = wanted.flatten().to_numpy()
-        pair = np.concatenate([h, wanted]).view(np.uint64)
-        pair = W.mix(pair + W.mix(np.concatenate([text, owner]).astype(np.uint64)))
-        keep = np.isin(pair[: len(h)], pair[len(h) :])
+
+        def listed(column: str, text: np.ndarray, h: np.ndarray) -> np.ndarray:
+            """Whether each sample is in the list of its text."""
+            wanted = batch.column(column)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
+            pair = np.concatenate([h, wanted.flatten().to_numpy()]).view(np.uint64)
+            pair = W.mix(pair + W.mix(np.concatenate([text, owner]).astype(np.uint64)))
+            return np.isin(pair[: len(h)], pair[len(h) :])
+
+        keep = listed("samples", text, h)
         text, at, lo, hi, h = (x[keep] for x in (text, at, lo, hi, h))
-        base = offsets[text]
-        first, size = lo + base, hi - lo + s.length
         doc, mark = batch.column("_order").to_numpy()[text], batch.column("mark").to_numpy()[text]
         order = np.lexsort((at, mark, doc))
-        text, at, lo, hi, h, doc, mark, first, size = (x[order] for x in (text, at, lo, hi, h, doc, mark, first, size))
-        whole = np.zeros(len(h), np.uint64)
-        for a in range(0, len(data), SEGMENT):  # spans are short: a segment and what reaches over its end
-            b = min(len(data), a + SEGMENT + 1024)
-            sums = np.zeros(b - a + 1, np.uint64)
-            np.cumsum(W._VALUE[data[a:b]] * W._UP[: b - a], out=sums[1:])
-            here = np.flatnonzero((first >= a) & (first < a + SEGMENT))
-            x = first[here] - a
-            whole[here] = (sums[x + size[here]] - sums[x]) * W._DOWN[x]
-        whole = W.mix(whole + W.mix(h.view(np.uint64) + (at - lo).astype(np.uint64) * np.uint64(4099) + (hi - lo).astype(np.uint64)))
-        _, earliest = np.unique(whole, return_index=True)
-        fresh = np.zeros(len(h), bool)
-        fresh[earliest] = True
-        later = ~fresh
+        text, at, lo, hi, h, doc, mark = (x[order] for x in (text, at, lo, hi, h, doc, mark))
+        base = offsets[text]
+        first, size = lo + base, hi - lo + s.length
+        whole = W.mix(_hashes(data, first, size) + W.mix(h.view(np.uint64) + (at - lo).astype(np.uint64) * np.uint64(4099) + (hi - lo).astype(np.uint64)))
+        fresh = _earliest(whole)
+        split = fresh & listed("crowded", text, h)
+
         zero = np.zeros(len(h), np.int64)
-        before = _spans(data, first, np.where(fresh, at - lo, zero))
-        after = _spans(data, np.where(fresh, first + (at - lo) + s.sample, zero), np.where(fresh, hi + s.length - at - s.sample, zero))
-        h = np.where(later, mark ^ at, h)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (h, doc, mark, np.where(later, -1, at), lo, hi)] + [before, after], _CONTEXT
-        )
+        before = _spans(data, first, np.where(fresh & ~split, at - lo, zero))
+        after = _spans(data, np.where(fresh, first + (at - lo) + s.sample, zero), np.where(fresh & ~split, hi + s.length - at - s.sample, zero))
+        made = pa.RecordBatch.from_arrays([pa.array(x) for x in (np.where(fresh, h, mark ^ at), doc, mark, np.where(fresh, at, -1), lo, hi)] + [before, after], _CONTEXT)
+        yield made.filter(pa.array(~split)) if split.any() else made
+
+        for some in np.split(np.flatnonzero(split), range(4096, np.count_nonzero(split), 4096)) if split.any() else ():
+            yield from _windows(data, base[some], at[some], lo[some], hi[some], h[some], doc[some], mark[some], s)
+
+
+def _windows(data: np.ndarray, base, at, lo, hi, h, doc, mark, s: RepeatSettings, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Contexts as one row for each window; windows seen earlier here are settled."""
+    count = hi - lo + 1
+    row = np.repeat(np.arange(len(at)), count)
+    start = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    offset = at[row] - start
+    own = W.mix(h.view(np.uint64)[row] + offset.astype(np.uint64) * np.uint64(4099))
+    own = W.mix(_hashes(data, base[row] + start, np.full(len(row), s.length, np.int64)) + own)
+    fresh = _earliest(own)
+    gone = np.flatnonzero(~fresh)
+    if len(gone):  # as runs of starts in a context
+        new = np.ones(len(gone), bool)
+        new[1:] = (row[gone[1:]] != row[gone[:-1]]) | (gone[1:] != gone[:-1] + 1)
+        a, b = gone[new], gone[np.append(np.flatnonzero(new)[1:] - 1, len(gone) - 1)]
+        none = pa.array([b""] * len(a), pa.binary())
+        x = row[a]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (mark[x] ^ start[a], doc[x], mark[x], np.full(len(a), -1, np.int64), start[a], start[b])] + [none, none], _CONTEXT)
+    left = np.flatnonzero(fresh)
+    for i in range(0, len(left), rows):
+        w = left[i : i + rows]
+        x, begin = row[w], start[w] + base[row[w]]
+        before, after = _spans(data, begin, offset[w]), _spans(data, begin + offset[w] + s.sample, s.length - s.sample - offset[w])
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (own[w].view(np.int64), doc[x], mark[x], at[x], start[w], start[w])] + [before, after], _CONTEXT)
 
 
 def _matrix(column: pa.Array, width: int, backwards: bool) -> np.ndarray:
@@ -313,14 +359,15 @@ def remove_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings(),
     )
     long = texts.filter(F.octet_length("text") >= s.length)
     firsts = long.groupBy("mark").agg(F.min("_order").alias("first_doc"))
-    samples = long.select("text", "mark").mapInArrow(partial(_samples, s=s), "hash bigint, mark bigint, twice boolean")
+    samples = long.select("text", "mark").mapInArrow(partial(_samples, s=s), "hash bigint, mark bigint, times bigint")
     beside = "OVER (PARTITION BY hash ORDER BY mark)"
-    again = samples.withColumn("other", F.expr(f"lag(mark) {beside} <> mark OR lead(mark) {beside} <> mark")).filter("twice OR other")
-    wanted = again.groupBy("mark").agg(F.collect_set("hash").alias("samples"))
+    again = samples.withColumn("other", F.expr(f"lag(mark) {beside} <> mark OR lead(mark) {beside} <> mark")).filter("times > 1 OR other")
+    again = again.withColumn("places", F.expr("sum(times) OVER (PARTITION BY hash)"))
+    wanted = again.groupBy("mark").agg(F.collect_set("hash").alias("samples"), F.collect_set(F.when(F.col("places") > s.block, F.col("hash"))).alias("crowded"))
     # not "=": as a join key it would shuffle the texts once more
     sources = texts.join(wanted.join(firsts, "mark"), "mark").filter("_order <= first_doc")
     # all columns, as in the join below: Spark then shuffles the texts once for both
-    contexts = sources.select(*texts.columns, "samples").mapInArrow(partial(_contexts, s=s), CONTEXT_TYPES)
+    contexts = sources.select(*texts.columns, "samples", "crowded").mapInArrow(partial(_contexts, s=s), CONTEXT_TYPES)
     spans = contexts.repartition("hash").sortWithinPartitions("hash").mapInArrow(partial(_sorted_buckets, s=s), "mark bigint, span bigint")
     per_text = spans.groupBy("mark").agg(F.collect_set("span").alias("spans"))
     joined = texts.join(per_text, "mark", "left").join(firsts, "mark", "left")

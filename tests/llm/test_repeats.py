@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -42,3 +44,23 @@ def test_odd_rows(odd):
     assert repeats.remove_repeats(odd.select("doc_id", "text").limit(0)).count() == 0
     same = odd.sparkSession.createDataFrame([(1, "q" * 50 + "r" * 100)] * 3, "doc_id bigint, text string")
     assert {len(r.kept) for r in repeats.remove_repeats(same).collect()} == {150}
+
+
+def test_common_line_is_split(llm, texts):
+    """A line with other neighbours in each document does not gather its contexts in one bucket."""
+    line = texts.prose(200)[:90]
+    docs = [(i, texts.prose(30) + line + texts.prose(30)) for i in range(300)]
+    docs += [(300 + i, docs[i][1][-200:] + texts.prose(20)) for i in range(40)]
+    s = repeats.RepeatSettings(block=50)
+    data = [x for _, x in docs]
+    samples = next(repeats._samples(iter([pa.RecordBatch.from_pydict({"text": data, "mark": list(range(len(data)))})]), s)).to_pandas()
+    size = samples.groupby("hash")["times"].sum()
+    hot = set(size[size > s.block].index)
+    assert hot
+    batch = pa.RecordBatch.from_pydict({
+        "text": data, "mark": list(range(len(data))), "_order": [i for i, _ in docs],
+        "samples": pa.array([list(size[size > 1].index)] * len(data), pa.list_(pa.int64())), "crowded": pa.array([list(hot)] * len(data), pa.list_(pa.int64())),
+    })
+    rows = pa.Table.from_batches(list(repeats._contexts(iter([batch]), s)))
+    assert max(np.unique(rows.column("hash").to_numpy()[rows.column("at").to_numpy() >= 0], return_counts=True)[1]) <= s.block
+    check(llm, docs, block=50)
