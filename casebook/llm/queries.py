@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, fixity, language, near, packing, quality, repeats, toxicity, wrappers
+from . import chat, contamination, fixity, language, near, packing, passages, quality, repeats, toxicity, wrappers
 from ..session import written_table
 from .tables import read
 
@@ -157,3 +157,20 @@ def op9_warc_fixity(spark, sf):
     # a replica keeps the places of its records; what its bytes say now is hashed again
     places = sound.select("file", "page_id", "ordinal", "offset")
     return fixity.audit(sound, written_table(replica.join(places, ["file", "page_id"])))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM t),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i : i + 19], ' ') ORDER BY doc_id, i) AS r FROM i),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM r WHERE r > 1),
+k AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM t),
+l AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS kept FROM k ANTI JOIN g USING (doc_id, k) GROUP BY 1),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)
+""")
+def op13_substring_dedup(spark, sf):
+    """Words left after the removal of repeated windows of 20 words."""
+    out = passages.remove_passages(read(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -95,3 +95,20 @@ def local_alignment(a, b, match=2, mismatch=-1, gap=-1):
         best = max(best, *row)
         above = row
     return best
+
+
+def cut_passages(docs, width):
+    """{doc_id: (kept words, removed, spans)} for distinct doc_ids."""
+    seen, out = set(), {}
+    for i, t in sorted(docs, key=lambda r: (r[0] is None, r[0])):
+        w = WORD.findall(t or "")
+        gone = [False] * len(w)
+        for p in range(len(w) - width + 1):
+            x = tuple(w[p : p + width])
+            if x in seen:
+                gone[p : p + width] = [True] * width
+            seen.add(x)
+        starts = [k for k in range(len(w)) if gone[k] and (k == 0 or not gone[k - 1])]
+        ends = [k + 1 for k in range(len(w)) if gone[k] and (k + 1 == len(w) or not gone[k + 1])]
+        out[i] = (" ".join(x for x, g in zip(w, gone) if not g), sum(gone), list(zip(starts, ends)))
+    return out
