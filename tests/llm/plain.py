@@ -112,3 +112,17 @@ def cut_passages(docs, width):
         ends = [k + 1 for k in range(len(w)) if gone[k] and (k + 1 == len(w) or not gone[k + 1])]
         out[i] = (" ".join(x for x, g in zip(w, gone) if not g), sum(gone), list(zip(starts, ends)))
     return out
+
+
+def hard_negatives(rows, every=10, scale=256, positives=5, negatives=10, low=30, high=90):
+    """Sorted result rows over (vec_id, label, vector) with distinct ids and clean vectors."""
+    rows = [(i, lab, [math.floor(scale * float(x)) for x in v]) for i, lab, v in rows]
+    out = []
+    for a, lab, v in rows:
+        if a % every:
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(v, w)), i, m) for i, m, w in rows if i != a)
+        for p, i, _ in [x for x in scored if x[2] == lab][:positives]:
+            found = [(-n, j) for n, j, m in scored if m != lab and low * -p <= 100 * -n <= high * -p][:negatives]
+            out += [(a, i, k, j, -p, n) for k, (n, j) in enumerate(found, 1)]
+    return sorted(out)
