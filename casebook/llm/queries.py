@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, fixity, language, near, negatives, packing, passages, quality, repeats, toxicity, wrappers
+from . import alignment, chat, contamination, fixity, language, near, negatives, packing, passages, quality, repeats, toxicity, wrappers
 from ..session import written_table
 from .tables import read
 
@@ -195,3 +195,9 @@ def op11_hard_negative_mining(spark, sf):
     label = F.col("label").cast("bigint")
     rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
     return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op12_tokenizer_alignment(spark, sf):
+    """Groups and links between the tokens of two tokenizers for every document."""
+    return alignment.align_documents(read(spark, sf, "documents").select("doc_id", "text"))

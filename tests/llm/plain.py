@@ -126,3 +126,31 @@ def hard_negatives(rows, every=10, scale=256, positives=5, negatives=10, low=30,
             found = [(-n, j) for n, j, m in scored if m != lab and low * -p <= 100 * -n <= high * -p][:negatives]
             out += [(a, i, k, j, -p, n) for k, (n, j) in enumerate(found, 1)]
     return sorted(out)
+
+
+def aligned(a, b, byte_b, text):
+    """(groups, linked id pairs) of a text, by comparing all tokens."""
+    if not text:
+        return [], []
+    whole = (" " + text).encode()
+    ids_a, ids_b = a.encode(" " + text, add_special_tokens=False), b.encode(text)
+    back = {}
+    for x in range(256):
+        printable = 0x21 <= x < 0x7F or 0xA1 <= x < 0xAD or 0xAE <= x
+        back[chr(x) if printable else chr(256 + len([c for c in back.values() if not (0x21 <= c < 0x7F or 0xA1 <= c < 0xAD or 0xAE <= c)]))] = x
+    spelled = [[bytes(back[c] for c in t) for t in ids_a.tokens], [byte_b(i) for i in ids_b]]
+    if any(b"".join(s) != whole for s in spelled):
+        return [], []
+    spans = []
+    for ids, s in zip((ids_a.ids, ids_b), spelled):
+        ends = [sum(map(len, s[: k + 1])) for k in range(len(s))] if len(s) < 4000 else None
+        if ends is None:
+            ends, n = [], 0
+            for x in s:
+                n += len(x)
+                ends.append(n)
+        spans.append([(i, e - len(x), e) for i, x, e in zip(ids, s, ends)])
+    cuts = sorted({e for _, _, e in spans[0]} & {e for _, _, e in spans[1]})
+    groups = [tuple([i for i, s, e in side if lo <= s and e <= hi] for side in spans) for lo, hi in zip([0, *cuts], cuts)]
+    links = [(i, j) for i, s, e in spans[0] for j, t, f in spans[1] if max(s, t) < min(e, f)]
+    return groups, links
