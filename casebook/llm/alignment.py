@@ -46,28 +46,36 @@ class AlignSettings:
 
     byte_level: str = "byte_bpe_50k.json"
     pieces: str = "piece_bpe_32k.model"
-    known: int = 200_000
+    known: int = 600_000
     segment: int = 1 << 20
     pairs: int = 3_000_000
 
 
-def align(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[list[tuple[slice, slice]], list[tuple[int, int]]]:
-    """(groups, links): slices of both id lists between common ends, and the index pairs whose bytes overlap."""
-    end_a, end_b = list(accumulate(size_a[i] for i in a)), list(accumulate(size_b[i] for i in b))
-    index_a, index_b = {e: i for i, e in enumerate(end_a)}, {e: i for i, e in enumerate(end_b)}
+def align(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(groups, links): where the groups end in both id lists, and the index pairs whose bytes overlap."""
+    end_a, end_b = list(accumulate([size_a[i] for i in a])), list(accumulate([size_b[i] for i in b]))
+    index_a, index_b = dict(zip(end_a, range(1, len(a) + 1))), dict(zip(end_b, range(1, len(b) + 1)))
     groups, links = [], []
-    i = j = 0
+    i = j = start = 0
     for end in sorted(index_a.keys() & index_b.keys()):
-        p, q = index_a[end] + 1, index_b[end] + 1
-        groups.append((slice(i, p), slice(j, q)))
-        while i < p and j < q:
-            if end_a[i] > (end_a[i - 1] if i else 0) and end_b[j] > (end_b[j - 1] if j else 0):  # a token without bytes overlaps nothing
-                links.append((i, j))
-            i, j = i + (end_a[i] <= end_b[j]), j + (end_b[j] <= end_a[i])
-        i, j = p, q
+        p, q = index_a[end], index_b[end]
+        groups.append((p, q))
+        if p - i == 1 == q - j and end > start:
+            links.append((i, j))
+        else:
+            links += _overlaps(end_a, end_b, i, p, j, q)
+        i, j, start = p, q, end
     return groups, links
 
 
+def _overlaps(end_a: list[int], end_b: list[int], i: int, p: int, j: int, q: int) -> Iterator[tuple[int, int]]:
+    """Overlapping pairs of the tokens i to p and j to q; a token without bytes overlaps nothing."""
+    while i < p and j < q:
+        if end_a[i] > (end_a[i - 1] if i else 0) and end_b[j] > (end_b[j - 1] if j else 0):
+            yield i, j
+        i, j = i + (end_a[i] <= end_b[j]), j + (end_b[j] <= end_a[i])
+
+
 class Aligner:
     """Both tokenizers, and the alignments of the pieces of text seen so far."""
 
@@ -89,6 +97,7 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
+        self.names = [str(i) for i in range(max(len(self.size_a), len(self.size_b)))]
         made = json.loads(self.a.to_str())
         regular = made["normalizer"] is None and made["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         self.cuts = regular and not any(MARK in p.lstrip(MARK) for p in pieces)
@@ -129,21 +138,47 @@ class Aligner:
 
     def learn(self, new: list[bytes]) -> None:
         """Encode and align pieces of text; each begins with a space, which the second tokenizer adds itself."""
-        texts = [x.decode() for x in new]
-        for i in range(0, len(new), 2000):  # encodings are large objects
-            ids_a = [x.ids for x in self.a.encode_batch_fast(texts[i : i + 2000], add_special_tokens=False)]
-            ids_b = self.b.encode([t[1:] for t in texts[i : i + 2000]], num_threads=1)
-            for raw, a, b in zip(new[i : i + 2000], ids_a, ids_b):
-                good = b"".join([self.bytes_a[x] for x in a]) == raw == b"".join([self.bytes_b[x] for x in b])
-                groups, links = align(a, b, self.size_a, self.size_b) if good else ([], [])
-                self.index[raw] = len(self.good)
+        bytes_a, bytes_b, size_a, size_b = self.bytes_a, self.bytes_b, self.size_a, self.size_b
+        known = len(self.index)
+        self.index.update(zip(new, range(known, known + len(new))))
+        self.held += sum(map(len, new))
+        for k in range(0, len(new), 2000):  # encodings are large objects
+            some = new[k : k + 2000]
+            texts = [x.decode() for x in some]
+            ids_a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+            ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)
+            links_a, links_b, first, counts = [], [], [], []
+            at = len(self.links_a)
+            for raw, a, b in zip(some, ids_a, ids_b):
+                good = b"".join([bytes_a[x] for x in a]) == raw == b"".join([bytes_b[x] for x in b])
                 self.good.append(good)
-                self.texts.append(";".join(",".join(map(str, a[x])) + "|" + ",".join(map(str, b[y])) for x, y in groups).encode())
-                self.counts.extend((len(a), len(b), len(groups), len(links)) if good else (0, 0, 0, 0))
-                self.links_a.extend([a[x] for x, _ in links])
-                self.links_b.extend([b[y] for _, y in links])
-                self.first.append(len(self.links_a))
-                self.held += len(raw)
+                if good:
+                    groups, links = align(a, b, size_a, size_b)
+                    for i, j in links:
+                        links_a.append(a[i])
+                        links_b.append(b[j])
+                    self.texts.append(self.written(a, b, groups))
+                    counts += (len(a), len(b), len(groups), len(links))
+                else:
+                    self.texts.append(b"")
+                    counts += (0, 0, 0, 0)
+                first.append(at + len(links_a))
+            self.counts.extend(counts)
+            self.links_a.extend(links_a)
+            self.links_b.extend(links_b)
+            self.first.extend(first)
+
+    def written(self, a: list[int], b: list[int], groups: list[tuple[int, int]]) -> bytes:
+        """Groups as ids: ``a1,a2|b1;a3|b2,b3``."""
+        name, out = self.names, []
+        i = j = 0
+        for p, q in groups:
+            if p - i == 1 == q - j:
+                out.append(f"{name[a[i]]}|{name[b[j]]}")
+            else:
+                out.append(",".join([name[x] for x in a[i:p]]) + "|" + ",".join([name[x] for x in b[j:q]]))
+            i, j = p, q
+        return ";".join(out).encode()
 
     def measure(self, parts: list[bytes]) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
         """(bytes agree, counts, distinct links a << 32 | b, their numbers, group texts) of each part; parts begin with a space."""
