@@ -12,11 +12,12 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, StopWor
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..functions import text, vectors
 from ..functions.binding import let
 from ..session import written_table
+from .ordering import largest
 
 
 def english_stop_words() -> list[str]:
@@ -40,27 +41,44 @@ class TermSettings:
     sublinear: bool = False
 
 
-def row_terms(column: Column | str, settings: TermSettings) -> Column:
-    """All terms of a text: words without stop words, then pairs if wanted."""
+def stored_words(df: DataFrame, column: str, settings: TermSettings, *keep: str) -> DataFrame:
+    """Write the words of every text once, with the columns to keep; ``words`` then stands for the text.
+
+    Document count, vocabulary and vectors all read this table, so texts are
+    split once. Rows are dealt by the first kept column over the shuffle
+    partitions of the session, because a file of texts may be a single task.
+    """
     words = text.tokens(F.coalesce(text._col(column), F.lit("")), list(settings.stop_words))
+    return written_table(df.select(*keep, words.alias("words")).repartition(keep[0]))
+
+
+def row_terms(column: Column | str, settings: TermSettings, split: bool = False) -> Column:
+    """All terms of a text: words without stop words, then pairs if wanted. ``split``: the column holds words already."""
+    words = text._col(column) if split else text.tokens(F.coalesce(text._col(column), F.lit("")), list(settings.stop_words))
     return let(words, text.with_bigrams) if settings.bigrams else words
 
 
+def _is_split(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, ArrayType)
+
+
 def vocabulary(df: DataFrame, column: str, settings: TermSettings, n_docs: int) -> DataFrame:
     """(term, cf, df): the terms that pass the document limits, most frequent first.
 
     Each row lists its terms and then its distinct terms, and the position
     tells which of the two a term counts for. One aggregate on the term
     follows, with map-side combining; a term that occurs in most texts costs
-    one row per task.
+    one row per task. The ``max_features`` most frequent terms are cut at a
+    count that histograms give, so no task gathers the candidates.
     """
-    listed = df.select(row_terms(column, settings).alias("_terms")).select(
+    terms = row_terms(column, settings, _is_split(df, column))
+    listed = df.select(terms.alias("_terms")).select(
         F.size("_terms").alias("_n"), F.posexplode(F.concat("_terms", F.array_distinct("_terms"))).alias("_pos", "term")
     )
     repeated = F.col("_pos") < F.col("_n")
     counts = listed.groupBy("term").agg(F.count_if(repeated).alias("cf"), F.count_if(~repeated).alias("df"))
     kept = counts.filter((F.col("df") >= settings.min_df) & (F.col("df") <= n_docs * settings.max_df))
-    return kept.orderBy(F.desc("cf"), "term").limit(settings.max_features)
+    return largest(written_table(kept), "cf", "term", settings.max_features).orderBy(F.desc("cf"), "term")
 
 
 @dataclass(frozen=True)
@@ -91,7 +109,7 @@ class TfidfModel:
         broadcast vocabulary, scaled and normalised without a shuffle.
         """
         scaler = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_tfidf")
-        counted = self._counter.transform(df.withColumn("_terms", row_terms(column, self.settings)))
+        counted = self._counter.transform(df.withColumn("_terms", row_terms(column, self.settings, _is_split(df, column))))
         unwrapped = scaler.transform(counted).withColumns(
             {"_a": F.unwrap_udt("_tf"), "_b": F.unwrap_udt("_tfidf")}
         )
@@ -141,7 +159,7 @@ class TfidfModel:
 
 
 def fit_tfidf(df: DataFrame, column: str, settings: TermSettings) -> TfidfModel:
-    """Vocabulary with smooth idf, ln((1 + n) / (1 + df)) + 1."""
+    """Vocabulary with smooth idf, ln((1 + n) / (1 + df)) + 1; ``column`` holds texts, or words as ``stored_words`` leaves them."""
     n = df.count()
     # Bounded by max_features.
     rows = vocabulary(df, column, settings, n).select("term", "df").collect()

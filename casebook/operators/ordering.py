@@ -47,6 +47,49 @@ def top_per_group(
     return df.withColumn(rank, position).filter(F.col(rank) <= k)
 
 
+#: So many rows of one count, or fewer, are sorted to find the last name that is taken.
+FEW_TIES = 10_000
+
+
+def largest(df: DataFrame, count: str, name: str, n: int) -> DataFrame:
+    """The ``n`` rows of a stored table with the largest counts; equal counts are taken in the order of the unique name.
+
+    Histograms find where the cut falls: first over the exponent and four more
+    bits of a count, then over the counts of that step, then over ever longer
+    beginnings of the names that share the count, until few names are left.
+    Each histogram has few rows, whatever the table holds, and the cut itself
+    is a filter.
+    """
+    step = F.floor(F.log2(F.col(count).cast("double")) * 16)
+    found = _boundary(df, step, n, descending=True)
+    if found is None:
+        return df
+    bucket, n, _ = found
+    value, n, size = _boundary(df.filter(step == bucket), F.col(count), n, descending=True)
+    ties, tied, length = df.filter(F.col(count) == value), F.lit(False), 0
+    while n and size > FEW_TIES:
+        length += 2
+        prefix = F.substring(name, 1, length)
+        start, n, size = _boundary(ties, prefix, n, descending=False)
+        ties, tied = ties.filter(prefix == start), tied | (prefix < start)
+        if n and ties.filter(F.col(name) == start).count():  # a name that ends here comes before all that go on
+            ties, tied, n = ties.filter(F.col(name) != start), tied | (F.col(name) == start), n - 1
+    if n:
+        last = ties.orderBy(name).limit(n).agg(F.max(name)).first()[0]
+        tied |= F.col(name) <= last
+    return df.filter((F.col(count) > value) | ((F.col(count) == value) & tied))
+
+
+def _boundary(df: DataFrame, key: Column, n: int, descending: bool) -> tuple | None:
+    """(key at which the first ``n`` rows end, how many of its rows belong to them, how many it has); None when all rows do."""
+    rows = df.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()
+    for row in sorted(rows, key=lambda r: r["k"], reverse=descending):
+        if row["n"] > n:
+            return row["k"], n, row["n"]
+        n -= row["n"]
+    return None
+
+
 def hash_rank(df: DataFrame, key: str, seed: int, rank: str = "hash_rank", total: str = "n_rows") -> DataFrame:
     """Rank of each row in a seeded pseudo-random order, and the row count.
 

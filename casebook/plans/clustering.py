@@ -69,16 +69,19 @@ def cluster_texts(
         records = written_table(ordering.sample_rows(records, "_row", max_records, seed))
 
     # The models work on row numbers; texts and metadata join back once.
-    tfidf = features.fit_tfidf(records, text_column, term_settings(min_df, 0.95, stop_words, max_features))
-    weights = written_table(tfidf.transform(records, text_column).select("_row", "term_ids", "weights"))
+    settings = term_settings(min_df, 0.95, stop_words, max_features)
+    split = features.stored_words(records, text_column, settings, "_row")
+    tfidf = features.fit_tfidf(split, "words", settings)
+    weights = written_table(tfidf.transform(split, "words").select("_row", "term_ids", "weights"))
     embedded = written_table(
         models.svd_embeddings(weights, len(tfidf.terms), n_components, seed).select("_row", "embedding")
     )
     placed = models.pca_2d(models.kmeans_clusters(embedded, k=n_clusters, seed=seed))
+    placed = written_table(placed)
     clustered = written_table(records.join(placed, "_row").drop("_row"))
 
-    words = features.fit_tfidf(records, text_column, term_settings(min_df, 0.9, stop_words, keyword_features))
-    keywords = clusters.cluster_keywords(words.transform(clustered, text_column), words)
+    words = features.fit_tfidf(split, "words", term_settings(min_df, 0.9, stop_words, keyword_features))
+    keywords = clusters.cluster_keywords(words.transform(split.join(placed.select("_row", "cluster_label"), "_row"), "words"), words)
     examples = clusters.cluster_examples(clustered, key)
     metadata = {k: c for k, c in clusters.metadata_columns(clustered).items() if c}
     year = metadata.get("year")

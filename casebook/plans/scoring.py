@@ -47,8 +47,9 @@ def fit_report_classifier(
     settings = features.TermSettings(
         stop_words=tuple(words), bigrams=True, min_df=2, max_features=max_features, sublinear=True
     )
-    tfidf = features.fit_tfidf(rows, text_column, settings)
-    stored = tfidf.vector_table(tfidf.transform(rows, text_column).drop(text_column))
+    split = features.stored_words(rows, text_column, settings, key, *(c for c in rows.columns if c not in (key, text_column, "words")))
+    tfidf = features.fit_tfidf(split, "words", settings)
+    stored = tfidf.vector_table(tfidf.transform(split, "words").drop("words"))
     risk_model = problem_model = None
     if with_models and RISK in stored.columns:
         risk_model = models.train_classifier(stored, tfidf, RISK, c=3.0, min_rows=models.MIN_ROWS)

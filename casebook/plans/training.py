@@ -84,8 +84,9 @@ def train_evaluate(
         settings = features.TermSettings(
             stop_words=tuple(features.english_stop_words()), bigrams=True, min_df=2, max_df=0.95, sublinear=True
         )
-    tfidf = features.fit_tfidf(train, "input_text", settings)
-    weights = tfidf.transform(train, "input_text").select("target_label", "term_ids", "weights")
+    words = features.stored_words(train, "input_text", settings, "incident_id", "target_label")
+    tfidf = features.fit_tfidf(words, "words", settings)
+    weights = tfidf.transform(words, "words").select("target_label", "term_ids", "weights")
     classifier = models.train_classifier(tfidf.vector_table(weights), tfidf, "target_label", c)
     if classifier is None:
         raise ValueError("Need at least two target classes in the training part.")

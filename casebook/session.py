@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+_SHIPPED: set[str] = set()
+
 
 def build_session(app_name: str = "casebook", **conf: str) -> SparkSession:
     """Session with the package defaults; keyword arguments override them."""
@@ -53,6 +57,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application: functions inside tasks are found by name."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    # stays for the life of the application, whose file server reads it
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="casebook-")), "casebook_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(root)))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
+
 def few(df: DataFrame, what: str, limit: int = 100_000) -> DataFrame:
     """A table of at most ``limit`` rows, written once and marked for broadcast; more rows raise.
 

@@ -31,9 +31,9 @@ def _settings() -> features.TermSettings:
 @query()
 def train_text_classifier(spark, sf):
     """Language classifier: one row per class with its intercept."""
-    docs = texts(spark, sf)
-    tfidf = features.fit_tfidf(docs, "text", _settings())
-    weights = tfidf.transform(docs, "text").select("lang", "term_ids", "weights")
+    words = features.stored_words(texts(spark, sf), "text", _settings(), "doc_id", "lang")
+    tfidf = features.fit_tfidf(words, "words", _settings())
+    weights = tfidf.transform(words, "words").select("lang", "term_ids", "weights")
     fitted = models.train_classifier(tfidf.vector_table(weights), tfidf, "lang")
     rows = [(name, float(b)) for name, b in zip(fitted.labels, fitted.model.interceptVector)]
     return spark.createDataFrame(rows, "label string, intercept double")
@@ -42,9 +42,9 @@ def train_text_classifier(spark, sf):
 @query()
 def predict_topk(spark, sf):
     """Top three languages of every document, in and out of the training rows."""
-    docs = texts(spark, sf)
-    tfidf = features.fit_tfidf(docs, "text", _settings())
-    stored = tfidf.vector_table(tfidf.transform(docs, "text").select("doc_id", "lang", "term_ids", "weights"))
+    words = features.stored_words(texts(spark, sf), "text", _settings(), "doc_id", "lang")
+    tfidf = features.fit_tfidf(words, "words", _settings())
+    stored = tfidf.vector_table(tfidf.transform(words, "words").select("doc_id", "lang", "term_ids", "weights"))
     fitted = models.train_classifier(stored, tfidf, "lang")
     return fitted.predict(stored, 3).select(
         "doc_id", "predicted_label", "predicted_confidence", F.explode("top_predictions").alias("p")
@@ -60,9 +60,9 @@ def train_evaluate(spark, sf):
 
 @query()
 def svd_embeddings(spark, sf):
-    docs = texts(spark, sf)
-    tfidf = features.fit_tfidf(docs, "text", _settings())
-    weights = written_table(tfidf.transform(docs, "text").select("doc_id", "term_ids", "weights"))
+    words = features.stored_words(texts(spark, sf), "text", _settings(), "doc_id")
+    tfidf = features.fit_tfidf(words, "words", _settings())
+    weights = written_table(tfidf.transform(words, "words").select("doc_id", "term_ids", "weights"))
     return models.svd_embeddings(weights, len(tfidf.terms), N_COMPONENTS).select("doc_id", "embedding")
 
 

@@ -75,16 +75,16 @@ def ngrams(spark, sf):
 @query(f"""WITH {_terms_sql('d', 'doc_id', 'documents')}, {_vocab_sql('d_t', 'documents', 3, 0.4, 5000)} SELECT term, cf, df FROM vocab""")
 def vocabulary(spark, sf):
     settings = features.TermSettings(stop_words=stop_words(), bigrams=True, min_df=3, max_df=0.4, max_features=5000)
-    docs = texts(spark, sf)
-    return features.vocabulary(docs, "text", settings, docs.count())
+    words = features.stored_words(texts(spark, sf), "text", settings, "doc_id")
+    return features.vocabulary(words, "words", settings, words.count())
 
 
 @query(f"""WITH {_terms_sql('d', 'doc_id', 'documents')}, {_vocab_sql('d_t', 'documents', 2, 1.0, MAX_FEATURES)}, {_weights_sql('x', 'doc_id', 'd_t')}
   SELECT doc_id, term, round(weight, 6) AS weight FROM x""")
 def tfidf(spark, sf):
-    docs = texts(spark, sf)
-    model = features.fit_tfidf(docs, "text", report_settings())
-    long = features.weights_long(model.transform(docs, "text"), "doc_id")
+    words = features.stored_words(texts(spark, sf), "text", report_settings(), "doc_id")
+    model = features.fit_tfidf(words, "words", report_settings())
+    long = features.weights_long(model.transform(words, "words"), "doc_id")
     return features.with_terms(long, model).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -96,8 +96,9 @@ _KEYWORDS = f"""{_terms_sql('d', 'doc_id', 'documents')}, {_vocab_sql('d_t', 'do
 def _keywords(spark, sf) -> DataFrame:
     docs = roles.records(spark, sf)
     settings = features.TermSettings(stop_words=stop_words(), bigrams=True, min_df=2, max_df=0.9, max_features=12_000)
-    model = features.fit_tfidf(docs, "input_text", settings)
-    return clusters.cluster_keywords(model.transform(docs, "input_text"), model)
+    words = features.stored_words(docs, "input_text", settings, "doc_id", "cluster_label")
+    model = features.fit_tfidf(words, "words", settings)
+    return clusters.cluster_keywords(model.transform(words, "words"), model)
 
 
 @query(f"WITH {_KEYWORDS} SELECT CAST(instr('de en es fr', lang) AS INTEGER) AS cluster_label, term AS keyword, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM kw")
@@ -155,7 +156,8 @@ def cluster_summary(spark, sf):
 
 _NEAR = f"""{_terms_sql('d', 'doc_id', 'documents')}, {_vocab_sql('d_t', 'documents', 2, 1.0, MAX_FEATURES)}, {_weights_sql('dw', 'doc_id', 'd_t')},
   {_terms_sql('q', 'item_id', 'benchmark')}, {_weights_sql('qw', 'item_id', 'q_t')},
-  sc AS (SELECT item_id, doc_id, round(sum(qw.weight * dw.weight), 9) AS similarity FROM qw JOIN dw USING (term) GROUP BY 1, 2),
+  sh AS (SELECT item_id, doc_id, sum(qw.weight * dw.weight) AS s FROM qw JOIN dw USING (term) GROUP BY 1, 2),
+  sc AS (SELECT item_id, doc_id, round(coalesce(s, 0), 9) AS similarity FROM benchmark b CROSS JOIN (SELECT doc_id FROM documents) d LEFT JOIN sh USING (item_id, doc_id)),
   {RECORDS},
   nn AS (SELECT * FROM (SELECT item_id, doc_id, similarity, coalesce(mit_risk_domain = 'quality 1', false) AS same_label,
       row_number() OVER (PARTITION BY item_id ORDER BY coalesce(mit_risk_domain = 'quality 1', false) DESC, similarity DESC, doc_id) AS rank
@@ -164,8 +166,9 @@ _NEAR = f"""{_terms_sql('d', 'doc_id', 'documents')}, {_vocab_sql('d_t', 'docume
 
 def _near(spark, sf) -> DataFrame:
     records = roles.records(spark, sf)
-    model = features.fit_tfidf(records, "input_text", report_settings())
-    corpus = model.transform(records, "input_text")
+    words = features.stored_words(records, "input_text", report_settings(), "doc_id", "mit_risk_domain")
+    model = features.fit_tfidf(words, "words", report_settings())
+    corpus = model.transform(words, "words")
     asked = table(spark, sf, "benchmark").withColumn("preferred", F.lit("quality 1"))
     queries = written_table(model.transform(asked, "text"))
     return neighbours.nearest_examples(

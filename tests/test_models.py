@@ -129,16 +129,15 @@ def brute_force(queries, corpus, k):
         for d, (di, dw, label) in corpus.items():
             weights = dict(zip(di, dw))
             s = sum(w * weights.get(i, 0.0) for i, w in zip(qi, qw))
-            if any(i in weights for i in qi):
-                scores.append((label != pref, -round(s, 9), d))
+            scores.append((label != pref, -round(s, 9), d))
         out[q] = [d for _, _, d in sorted(scores)[:k]]
     return out
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_neighbours_match_brute_force(docs, monkeypatch, limit):
-    # Both join strategies must give the exact result.
-    monkeypatch.setattr(neighbours, "MAX_BROADCAST_TERMS", limit)
+@pytest.mark.parametrize("block, index", [(1_000_000, 500_000), (5, 30)])
+def test_neighbours_match_brute_force(docs, monkeypatch, block, index):
+    monkeypatch.setattr(neighbours, "BLOCK_TERMS", block)
+    monkeypatch.setattr(neighbours, "INDEX_TERMS", index)
     tfidf = features.fit_tfidf(docs, "text", PLAIN)
     corpus = tfidf.transform(docs, "text").select("doc_id", "kind", "term_ids", "weights")
     queries = corpus.filter("doc_id % 5 = 0").select(F.col("doc_id").alias("q"), "term_ids", "weights", F.lit("tool").alias("pref"))
@@ -149,6 +148,36 @@ def test_neighbours_match_brute_force(docs, monkeypatch, limit):
     q = {r["q"]: (r["term_ids"], r["weights"], r["pref"]) for r in queries.collect()}
     c = {r["doc_id"]: (r["term_ids"], r["weights"], r["kind"]) for r in corpus.collect()}
     assert got == brute_force(q, c, 4)
+    # the corpus stays where it is: no exchange below the best rows of the tasks
+    plan = neighbours.best_of_tasks(queries, corpus, "q", "doc_id", 4, "pref", "kind")[0]
+    count = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert count(plan) <= count(corpus)
+
+
+def test_neighbours_random(spark, monkeypatch):
+    """Bounds, ties, rows without a shared term, more asked than there is; several indexes in a task."""
+    monkeypatch.setattr(neighbours, "INDEX_TERMS", 60)
+    r = np.random.default_rng(4)
+
+    def rows(n, start):
+        out = []
+        for i in range(n):
+            ids = sorted(r.choice(40, size=r.integers(0, 7), replace=False).tolist())
+            w = np.round(r.random(len(ids)), 1) + 0.1
+            out.append((f"k{start + i:03d}", ids, (w / np.sqrt((w * w).sum())).tolist() if ids else [], "ab"[int(r.integers(0, 2))]))
+        return out
+
+    schema = "key string, term_ids array<int>, weights array<double>, label string"
+    asked, held = rows(30, 0), rows(200, 500)
+    queries = spark.createDataFrame(asked, schema).withColumnsRenamed({"key": "q", "label": "pref"})
+    corpus = spark.createDataFrame(held, schema).repartition(3)
+    for k, pref in ((5, "pref"), (3, None), (300, "pref")):
+        got = {}
+        for row in sorted(neighbours.nearest_examples(queries, corpus, "q", "key", k, pref, "label").collect(), key=lambda x: x["rank"]):
+            got.setdefault(row["q"], []).append(row["key"])
+        c = {d: (i, w, lab if pref else None) for d, i, w, lab in held}
+        q = {d: (i, w, lab if pref else None) for d, i, w, lab in asked}
+        assert got == brute_force(q, c, k)
 
 
 def test_vote(spark):

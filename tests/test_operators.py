@@ -341,3 +341,14 @@ def test_classes_on_one_side_only(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "c"), ("b", "a")], "true_label string, predicted_label string")
     report = {r["label"]: tuple(r)[1:] for r in evaluate.classification_report(evaluate.pair_counts(df)).collect()}
     assert report == {"a": (0.5, 0.5, 0.5, 2), "b": (0.0, 0.0, 0.0, 1), "c": (0.0, 0.0, 0.0, 0)}
+
+
+def test_largest(spark, monkeypatch):
+    counts = [(f"{'w' * (i % 9)}{i}", 1 + i % 7) for i in range(400)] + [("w", 4), ("ww", 4), ("wwé", 4), ("big", 1000)]
+    df = spark.createDataFrame(counts, "name string, n bigint")
+    want = sorted(counts, key=lambda r: (-r[1], r[0].encode()))
+    for few in (0, 10_000):
+        monkeypatch.setattr(ordering, "FEW_TIES", few)
+        for n in (0, 1, 59, 183, 404) if few else (2, 61, 180, 300):
+            got = ordering.largest(df, "n", "name", n).collect()
+            assert sorted(map(tuple, got)) == sorted(want[:n]), (few, n)
