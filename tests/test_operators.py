@@ -246,6 +246,24 @@ def test_hub_gives_no_pairs(spark):
     assert components._hub_edges(hub, "incident_id", "report_id").count() == 299
 
 
+def test_hub_is_not_gathered(spark):
+    """Two thirds of the edges end in one node; no task gets twice the rows of the median task."""
+    pairs = [(i, 0) for i in range(1, 20_001)] + [(30_000 + i, 29_999 - i) for i in range(9_000)]
+    edges = spark.createDataFrame(pairs, "v int, u int").repartition(8)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hubs = components._hubs(edges, len(pairs))
+        joined = components._with_least(edges, hubs)
+        sizes = sorted(r["n"] for r in joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+        assert {(r["u"], r["m"]) for r in joined.filter("u = 0 OR u = 29999").collect()} == {(0, 1), (29_999, 30_000)}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert hubs == [0] and sum(sizes) == len(pairs) and sizes[-1] < 2 * sizes[len(sizes) // 2]
+
+
 @pytest.mark.parametrize("spec,expected", [
     ("80/20", (0.8, 0.0, 0.2)), ("0.8/0.2", (0.8, 0.0, 0.2)), ("70/15/15", (0.7, 0.15, 0.15)), ("0.7/0.2/0.1", (0.7, 0.2, 0.1)),
 ])
