@@ -4,24 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.mllib.linalg import VectorUDT
+from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..functions import labels, vectors
+from ..session import ship, written_table
 from . import filters
 from .features import TfidfModel
 
 MIN_ROWS = 20
 MIN_CLASSES = 2
-SLICE_VALUES = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -100,75 +105,59 @@ def primary_problem(df: DataFrame, column: str, min_support: int = 3) -> DataFra
     return filters.min_support(first, "problem_label", min_support)
 
 
-def _gram_product(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
-    """One pass over the rows: the terms × terms Gram matrix times a basis.
+def svd_directions(rows: DataFrame, n_terms: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(directions, energies): the leading right singular vectors, terms × k, and the squared singular values.
 
-    A task adds up its rows and hands on the sums in slices of about
-    ``SLICE_VALUES`` numbers, which are added slice by slice. The result, terms
-    × basis, is bounded by the vocabulary size and is the only thing collected.
+    The rows become a distributed matrix of sparse vectors in the JVM, whose
+    Gram matrix is applied to vectors row by row until the directions settle;
+    only vectors of the vocabulary's size reach the driver. Fewer directions
+    than asked come out when the rows span fewer. The largest component of
+    each direction is positive.
     """
-    height = max(1, SLICE_VALUES // basis.shape[1])
-    shared = rows.sparkSession.sparkContext.broadcast(basis)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = shared.value
-        sums = np.zeros_like(q)
-        for batch in batches:
-            for ids, weights in zip(batch["term_ids"], batch["weights"]):
-                # Term ids are distinct within a row.
-                sums[ids] += np.outer(weights, weights @ q[ids])
-        slices = [(i, sums[i : i + height]) for i in range(0, len(sums), height)]
-        met = [(i, part.ravel()) for i, part in slices if part.any()]
-        yield pd.DataFrame({"first_term": [i for i, _ in met], "part": [p for _, p in met]})
-
-    parts = rows.select("term_ids", "weights").mapInPandas(partial, "first_term int, part array<double>")
-    summed = parts.groupBy("first_term").agg(vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("part"))
-    out = np.zeros_like(basis)
-    for r in summed.collect():
-        part = np.asarray(r["part"]).reshape(-1, basis.shape[1])
-        out[r["first_term"] : r["first_term"] + len(part)] = part
-    shared.unpersist()
-    return out
-
-
-def svd_components(
-    rows: DataFrame, n_terms: int, k: int, seed: int = 42, passes: int = 5, oversampling: int = 10
-) -> np.ndarray:
-    """Leading right singular vectors, terms × k, by randomised subspace iteration.
-
-    The number of passes over the rows is fixed, however many directions are
-    wanted.
-    """
-    width = min(k + oversampling, n_terms)
-    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_terms, width)))[0]
-    for _ in range(passes):
-        basis = np.linalg.qr(_gram_product(rows, basis))[0]
-    values, rotation = np.linalg.eigh(basis.T @ _gram_product(rows, basis))
-    return basis @ rotation[:, np.argsort(values)[::-1][:k]]
-
-
-def svd_embeddings(rows: DataFrame, n_terms: int, k: int = 384, seed: int = 42) -> DataFrame:
-    """Add ``embedding``: rows projected on the k leading directions, unit length.
-
-    ``rows`` is a stored table with ``term_ids`` and ``weights``, because
-    every pass reads it. The products with a shared matrix have no built-in
+    layout = F.struct(
+        F.lit(0).cast("byte").alias("type"), F.lit(n_terms).alias("size"), F.col("term_ids").alias("indices"), F.col("weights").alias("values")
+    )
+    table = written_table(rows.select(layout.alias("features")), StructType([StructField("features", VectorUDT())]))
+    table.persist()  # read once for every product
+    found = RowMatrix(table, 0, n_terms).computeSVD(min(k, max(n_terms - 1, 1)))
+    table.unpersist()
+    directions = found.V.toArray()
+    largest = np.abs(directions).argmax(axis=0)
+    return directions * np.sign(directions[largest, np.arange(directions.shape[1])]), found.s.toArray() ** 2
+
+
+def _projected(batches: Iterator[pa.RecordBatch], directions: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Rows times the directions, scaled to unit length; about a million products at a time."""
+    v = directions.value
+    for batch in batches:
+        first = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("term_ids")).fill_null(0).to_numpy())])
+        ids, weights = (batch.column(c).flatten().to_numpy() for c in ("term_ids", "weights"))
+        out, i = np.zeros((batch.num_rows, v.shape[1])), 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(first, first[i] + (1 << 20) // v.shape[1], "right")) - 1)
+            some = np.flatnonzero(first[i + 1 : j + 1] > first[i:j]) + i
+            if len(some):
+                products = v[ids[first[i] : first[j]]] * weights[first[i] : first[j], None]
+                out[some] = np.add.reduceat(products, first[some] - first[i])
+            i = j
+        length = np.linalg.norm(out, axis=1, keepdims=True)
+        unit = np.divide(out, length, out=out, where=length > 0).astype(np.float32)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1, dtype=np.int32) * v.shape[1]), pa.array(unit.ravel()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "embedding"])
+
+
+def svd_embeddings(rows: DataFrame, n_terms: int, k: int = 384) -> DataFrame:
+    """Add ``embedding``: rows projected on the k leading directions, unit length; a row without terms stays zero.
+
+    ``rows`` is a stored table with ``term_ids`` and ``weights``, without a
+    vector column. The products with a shared matrix have no built-in
     expression, so Arrow batches go through NumPy.
     """
-    k = min(k, max(2, rows.count() - 1), max(2, n_terms - 1))
-    shared = rows.sparkSession.sparkContext.broadcast(svd_components(rows, n_terms, k, seed))
-
-    @F.pandas_udf("array<float>")
-    def project(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        directions = shared.value
-        for ids, weights in batches:
-            out = []
-            for i, w in zip(ids, weights):
-                row = w @ directions[i]
-                length = np.linalg.norm(row)
-                out.append((row / length if length else row).astype("float32"))
-            yield pd.Series(out)
-
-    return rows.withColumn("embedding", project("term_ids", "weights"))
+    spark = rows.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(svd_directions(rows, n_terms, k)[0])
+    schema = StructType([*rows.schema, StructField("embedding", ArrayType(FloatType()))])
+    return rows.mapInArrow(partial(_projected, directions=shared), schema)
 
 
 def _embedding_vectors(df: DataFrame, column: str) -> DataFrame:

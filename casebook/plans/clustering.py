@@ -74,7 +74,7 @@ def cluster_texts(
     tfidf = features.fit_tfidf(split, "words", settings)
     weights = written_table(tfidf.transform(split, "words").select("_row", "term_ids", "weights"))
     embedded = written_table(
-        models.svd_embeddings(weights, len(tfidf.terms), n_components, seed).select("_row", "embedding")
+        models.svd_embeddings(weights, len(tfidf.terms), n_components).select("_row", "embedding")
     )
     placed = models.pca_2d(models.kmeans_clusters(embedded, k=n_clusters, seed=seed))
     placed = written_table(placed)

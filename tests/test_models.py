@@ -71,7 +71,7 @@ def test_classifier_round_trip(spark, docs, tmp_path):
 def test_svd_matches_numpy(docs):
     tfidf = features.fit_tfidf(docs, "text", PLAIN)
     stored = tfidf.vector_table(tfidf.transform(docs, "text"))
-    got = {r["doc_id"]: np.array(r["embedding"]) for r in models.svd_embeddings(stored, len(tfidf.terms), 2).collect()}
+    got = {r["doc_id"]: np.array(r["embedding"]) for r in models.svd_embeddings(stored.drop("features"), len(tfidf.terms), 2).collect()}
     rows = stored.collect()
     dense = np.stack([r["features"].toArray() for r in rows])
     _, _, vt = np.linalg.svd(dense, full_matrices=False)
@@ -80,6 +80,15 @@ def test_svd_matches_numpy(docs):
     have = np.stack([got[r["doc_id"]] for r in rows])
     # Directions may be mirrored, so inner products are compared.
     assert np.allclose(have @ have.T, want @ want.T, atol=1e-3)
+    directions, energies = models.svd_directions(stored, len(tfidf.terms), 3)
+    assert np.allclose(directions.T @ directions, np.eye(3), atol=1e-9)
+    assert np.allclose(energies, np.linalg.svd(dense)[1][:3] ** 2, atol=1e-6)
+
+
+def test_svd_odd_rows(spark):
+    rows = spark.createDataFrame([(1, [0, 2], [0.6, 0.8]), (2, [], []), (3, [1], [1.0]), (4, [0, 2], [0.6, 0.8])], "id int, term_ids array<int>, weights array<double>")
+    out = {r["id"]: r["embedding"] for r in models.svd_embeddings(rows, 3, 9).collect()}
+    assert np.linalg.norm(out[2]) == 0 and out[1] == out[4] and np.dot(out[1], out[3]) == pytest.approx(0, abs=1e-6)
 
 
 def test_pca_is_centred(spark):
