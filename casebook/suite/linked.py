@@ -189,15 +189,17 @@ def classification_labels(spark, sf):
     return incident_labels
 
 
-_STATS = {"p_name": "p_name", "p_brand": "p_brand", "p_type": "p_type", "p_size": "CAST(p_size AS VARCHAR)", "p_partkey": "CAST(p_partkey AS VARCHAR)"}
+_STATS = {"p_name": "p_name", "p_brand": "p_brand", "p_type": "p_type", "p_size": "CAST(p_size AS VARCHAR)", "p_partkey": "CAST(p_partkey AS VARCHAR)", "p_retailprice": "CAST(p_retailprice AS VARCHAR)"}
 
 
 @query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*)::BIGINT AS n_values, count(DISTINCT {e}) AS n_distinct,
   round(count(DISTINCT {e}) / count(*), 6) AS distinct_ratio, round(sum(length({e})) / count(*), 6) AS mean_length,
   count(DISTINCT {e}) <= 600 AND count(DISTINCT {e}) / count(*) <= 0.85 AND avg(length({e})) <= 160 AS kept FROM part""" for c, e in _STATS.items()))
 def label_column_stats(spark, sf):
-    stats = taxonomy.value_statistics(table(spark, sf, "part"), list(_STATS))
-    return stats.withColumn("kept", F.expr(taxonomy.is_categorical())).withColumns(
+    part = table(spark, sf, "part")
+    stats = taxonomy.value_statistics(part, list(_STATS))
+    kept = taxonomy.categorical_columns(part, list(_STATS))  # by sketches, where they are clear
+    return stats.withColumn("kept", F.col("column").isin(kept)).withColumns(
         {c: F.round(c, 6) for c in ("distinct_ratio", "mean_length")}
     )
 

@@ -246,6 +246,19 @@ def test_hub_gives_no_pairs(spark):
     assert components._hub_edges(hub, "incident_id", "report_id").count() == 299
 
 
+def test_label_limits_by_sketch(spark, monkeypatch):
+    """Sketches settle clear columns; one at a limit is counted exactly."""
+    rows = [(f"v{i % 600}", f"w{i % 601}", f"x{i}", "y" * 200 + str(i % 3), str(i % 5), None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "at string, over string, unique string, long string, clear string, none string")
+    assert taxonomy.categorical_columns(df, df.columns) == ["at", "clear"]
+    asked = []
+    exact = taxonomy.value_statistics
+    monkeypatch.setattr(taxonomy, "value_statistics", lambda d, c: asked.append(c) or exact(d, c))
+    assert taxonomy.categorical_columns(df, df.columns) == ["at", "clear"] and asked == [["at", "over"]]
+    assert taxonomy.candidate_labels(df, ["at"], max_distinct=5) == ["long", "clear", "none"]
+    assert taxonomy.categorical_columns(df, []) == []
+
+
 def test_hub_is_not_gathered(spark):
     """Two thirds of the edges end in one node; no task gets twice the rows of the median task."""
     pairs = [(i, 0) for i in range(1, 20_001)] + [(30_000 + i, 29_999 - i) for i in range(9_000)]
