@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written_table
+
 RECORDS_PER_FILE = 512
 FANOUT = 16
 
@@ -38,7 +40,10 @@ def index(rows: DataFrame) -> DataFrame:
 
     Records of a file follow by page_id, then digest; equal records keep both places.
     """
-    narrow = digests(rows)
+    return _placed(digests(rows))
+
+
+def _placed(narrow: DataFrame) -> DataFrame:
     order = Window.partitionBy("file").orderBy("page_id", "digest")
     before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return narrow.withColumn("ordinal", (F.row_number().over(order) - 1).cast("bigint")).withColumn("offset", before)
@@ -50,12 +55,12 @@ def digests(rows: DataFrame) -> DataFrame:
 
 
 def tree(leaves: DataFrame, levels: int, fanout: int = FANOUT) -> list[DataFrame]:
-    """Levels of (file, node, hash) from the records up to the roots."""
+    """Levels of (file, node, hash) from the records up to the roots; those above the records are written once."""
     out = [leaves.select("file", F.col("ordinal").alias("node"), F.sha2(F.concat_ws("|", "ordinal", "offset", "length", "digest"), 256).alias("hash"))]
     for _ in range(levels):
         below = out[-1].groupBy("file", F.floor(F.col("node") / fanout).cast("bigint").alias("up")).agg(F.sort_array(F.collect_list(F.struct("node", "hash"))).alias("below"))
         whole = F.array_join(F.transform("below", lambda x: F.concat_ws(":", x["node"].cast("string"), x["hash"])), "|")
-        out.append(below.select("file", F.col("up").alias("node"), F.sha2(whole, 256).alias("hash")))
+        out.append(written_table(below.select("file", F.col("up").alias("node"), F.sha2(whole, 256).alias("hash"))))
     return out
 
 
@@ -88,11 +93,29 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame:
     return found.select("file", "ordinal", *(F.coalesce(f"{c}_a", f"{c}_b").alias(c) for c in ("page_id", "offset", "length")), "state")
 
 
-def damaged(replica: DataFrame, flip: Column, lose: Column, cut: Column) -> DataFrame:
-    """A replica of (…, record) rows with a byte changed, records lost, or records cut in half, by conditions."""
+def _damage(flip: Column, cut: Column) -> Column:
+    """The record with a byte changed, or cut in half, by conditions."""
     n = F.octet_length("record")
     half = F.floor(n / 2).cast("int")
     changed = F.concat(F.substring("record", 1, half), F.encode(F.lit("\x00"), "UTF-8"), F.substring("record", half + 2, n))
-    return replica.filter(~F.coalesce(lose, F.lit(False))).withColumn(
-        "record", F.when(flip, changed).when(cut, F.substring("record", 1, half)).otherwise(F.col("record"))
-    )
+    return F.when(flip, changed).when(cut, F.substring("record", 1, half)).otherwise(F.col("record"))
+
+
+def damaged(replica: DataFrame, flip: Column, lose: Column, cut: Column) -> DataFrame:
+    """A replica of (…, record) rows with a byte changed, records lost, or records cut in half, by conditions."""
+    return replica.filter(~F.coalesce(lose, F.lit(False))).withColumn("record", _damage(flip, cut))
+
+
+def damaged_pair(archive: DataFrame, flip: Column, lose: Column, cut: Column) -> tuple[DataFrame, DataFrame]:
+    """(archive, damaged replica) with digests and places.
+
+    The archive is numbered once, and the replica keeps the places of its
+    records, whatever ids repeat or are missing; what its bytes say is hashed again.
+    """
+    other = digests(archive.select("file", "page_id", F.coalesce(lose, F.lit(False)).alias("lost"), "record", _damage(flip, cut).alias("changed")).withColumns(
+        {"other_length": F.octet_length("changed").cast("bigint"), "other_digest": F.sha2("changed", 256)}
+    ).drop("changed"))
+    placed = written_table(_placed(other))
+    names = ["file", "page_id", "ordinal", "offset"]
+    replica = placed.filter("NOT lost").select(*names, F.col("other_length").alias("length"), F.col("other_digest").alias("digest"))
+    return placed.select(*names, "length", "digest"), replica

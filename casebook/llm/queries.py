@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import alignment, chat, contamination, fixity, language, near, negatives, packing, passages, quality, repeats, toxicity, wrappers
-from ..session import written_table
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,12 +150,8 @@ def op9_warc_fixity(spark, sf):
     The replica has a byte changed, lacks records, or has them cut short, by page id.
     """
     archive = fixity.records(read(spark, sf, "pages"))
-    sound = written_table(fixity.index(archive))
     kind = F.col("page_id") % 50
-    replica = fixity.digests(fixity.damaged(archive, kind == 7, kind == 23, kind == 41))
-    # a replica keeps the places of its records; what its bytes say now is hashed again
-    places = sound.select("file", "page_id", "ordinal", "offset")
-    return fixity.audit(sound, written_table(replica.join(places, ["file", "page_id"])))
+    return fixity.audit(*fixity.damaged_pair(archive, kind == 7, kind == 23, kind == 41))
 
 
 @query(r"""

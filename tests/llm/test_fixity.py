@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from casebook.llm import fixity
+from casebook.llm import fixity, queries
 
 
 def test_locates_damage(llm, texts):
@@ -24,3 +24,23 @@ def test_locates_damage(llm, texts):
     changed = fixity.damaged(archive, F.col("page_id") == 1, F.col("page_id") == 2, F.col("page_id") == 3)
     sizes = {r.page_id: len(r.record) for r in changed.filter("page_id < 4").collect()}
     assert 2 not in sizes and sizes[3] == len(body) // 2 and sizes[1] == len(bytes(archive.filter("page_id = 1").first().record))
+
+
+def test_query_on_repeated_and_null_ids(llm, tmp_path):
+    """Only what the query damages is reported, one row for each listed record."""
+    pages = [(1, "u", "a"), (7, "u", "b"), (7, "u", "b"), (7, "u", "c"), (23, "u", "d"), (23, "u", "d"), (41, "u", "e"), (None, "u", "f"), (None, "u", "f"), (None, None, None), (607, "u", "g")]
+    llm.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = queries.QUERIES["op9_warc_fixity"](llm, str(tmp_path)).collect()
+    assert sorted((r.page_id, r.ordinal, r.state) for r in out) == [
+        (7, 1, "altered"), (7, 2, "altered"), (7, 3, "altered"), (23, 4, "missing"), (23, 5, "missing"), (41, 6, "altered"), (607, 0, "altered")
+    ]
+    llm.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/none/pages.parquet")
+    assert queries.QUERIES["op9_warc_fixity"](llm, f"{tmp_path}/none").count() == 0
+
+
+def test_plan_grows_with_the_levels(llm):
+    """Levels are written once: the audit itself holds no aggregate over them."""
+    rows = llm.range(5000).select((F.col("id") % 3).alias("file"), F.col("id").alias("page_id"), F.encode(F.col("id").cast("string"), "UTF-8").alias("record"))
+    plan = fixity.audit(*fixity.damaged_pair(rows, F.col("page_id") == 5, F.col("page_id") == 6, F.col("page_id") == 8))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 0
+    assert sorted((r.page_id, r.state) for r in plan.collect()) == [(5, "altered"), (6, "missing"), (8, "altered")]
