@@ -145,6 +145,15 @@ def _earliest(keys: np.ndarray) -> np.ndarray:
     return fresh
 
 
+def _places(*ordered: np.ndarray) -> np.ndarray:
+    """Which of the ordered rows name another place than the row before."""
+    fresh = np.zeros(len(ordered[0]), bool)
+    fresh[:1] = True
+    for x in ordered:
+        fresh[1:] |= x[1:] != x[:-1]
+    return fresh
+
+
 def _contexts(table: Iterator[pa.RecordBatch], s: RepeatSettings) -> Iterator[pa.RecordBatch]:
     """Bytes around the repeated cover samples of each text.
 
@@ -168,7 +177,8 @@ def _contexts(table: Iterator[pa.RecordBatch], s: RepeatSettings) -> Iterator[pa
         keep = listed("samples", text, h)
         text, at, lo, hi, h = (x[keep] for x in (text, at, lo, hi, h))
         doc, mark = batch.column("_order").to_numpy()[text], batch.column("mark").to_numpy()[text]
-        order = np.lexsort((at, mark, doc))
+        order = np.lexsort((lo, at, mark, doc))
+        order = order[_places(doc[order], mark[order], at[order], lo[order])]  # a document may be listed twice
         text, at, lo, hi, h, doc, mark = (x[order] for x in (text, at, lo, hi, h, doc, mark))
         base = offsets[text]
         first, size = lo + base, hi - lo + s.length
@@ -239,6 +249,10 @@ def _block(batch: pa.RecordBatch, s: RepeatSettings) -> pa.RecordBatch:
     done = at < 0
     out_mark, out_lo, out_hi = [mark[done]], [lo[done]], [hi[done]]
     rest = batch.filter(pa.array(~done))
+    if rest.num_rows > 1:
+        doc, mark, at, lo = (rest.column(c).to_numpy() for c in ("doc_id", "mark", "at", "lo"))
+        order = np.lexsort((lo, at, mark, doc))
+        rest = rest.take(pa.array(order[_places(doc[order], mark[order], at[order], lo[order])]))
     if rest.num_rows > 1:
         h, doc, mark, at, lo, hi = (rest.column(c).to_numpy() for c in ("hash", "doc_id", "mark", "at", "lo", "hi"))
         width = s.length - s.sample

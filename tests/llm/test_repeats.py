@@ -64,3 +64,14 @@ def test_common_line_is_split(llm, texts):
     rows = pa.Table.from_batches(list(repeats._contexts(iter([batch]), s)))
     assert max(np.unique(rows.column("hash").to_numpy()[rows.column("at").to_numpy() >= 0], return_counts=True)[1]) <= s.block
     check(llm, docs, block=50)
+
+
+def test_listed_twice(llm, texts):
+    """Rows with the same doc_id and text are one document, in one batch or in several."""
+    text, other = texts.prose(60), texts.prose(60)
+    rows = [(1, text), (1, text), (2, "zz " + text), (3, other + text[:150] + other), (3, other + text[:150] + other)]
+    df = llm.createDataFrame(rows, "doc_id bigint, text string")
+    want = plain.cut_repeats(list(dict(rows).items()))
+    for parts, block in ((1, 30_000), (5, 30_000), (5, 1)):
+        got = repeats.remove_repeats(df.repartition(parts), repeats.RepeatSettings(block=block)).collect()
+        assert len(got) == 5 and all(bytes(r.kept) == b"".join(want[r.doc_id][0]) for r in got)
