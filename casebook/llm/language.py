@@ -3,9 +3,11 @@
 Counts cover all training texts. The most frequent words are inner words of
 the network, further ones stand in classes of about equal mass, and all others
 in a last class; within such a class a word has its share of the class's count.
-The network is trained on every token of the training texts: each partition
-runs truncated backpropagation from the same weights, and the weights are
-averaged by the words seen. Only the table of frequent words, whose size is a
+The network is trained on every token of the training texts. They are dealt
+into shards by a hash of the row, in the order of that hash, so that the result
+does not depend on the layout of the input; each shard runs truncated
+backpropagation from the same weights, and the weights are averaged by the
+words seen. The number of shards follows the number of words. Only the table of frequent words, whose size is a
 parameter, and the weights go to the tasks; other words meet their counts in a
 join.
 """
@@ -20,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 from ..session import written_table
 from . import gru
@@ -30,7 +33,7 @@ END = np.uint64(0x5DEECE66D1234567)
 
 @dataclass(frozen=True)
 class LanguageSettings:
-    """``head`` words are sent to the tasks. Training takes one window in ``share`` of each text (1: all, the state carried), in each of ``rounds``."""
+    """``head`` words are sent to the tasks. A shard has about ``shard`` words, trained in ``lanes`` side by side; a task holds at most ``hold`` words and a text."""
 
     head: int = 200_000
     inner: int = 1024
@@ -38,10 +41,10 @@ class LanguageSettings:
     outer_classes: int = 16
     hidden: int = 12
     window: int = 32
-    share: int = 1
     rounds: int = 1
     rate: float = 0.02
-    side: int = 512
+    lanes: int = 192
+    shard: int = 4_000_000
     hold: int = 6_000_000
 
 
@@ -146,36 +149,58 @@ def _slots(table: Table, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(at >= 0, table.slot[at], last).astype(np.int16), at
 
 
-def _trained(batches: Iterator[pa.RecordBatch], table: Table, weights: np.ndarray, turn: int, s: LanguageSettings) -> Iterator[pa.RecordBatch]:
-    trainer = gru.Trainer(gru.unflat(weights, table.shape), table.shape, s.rate)
-    seen = 0
+def _coded(batches: Iterator[pa.RecordBatch], table: Table) -> Iterator[pa.RecordBatch]:
+    """The slots of each text as 16-bit numbers in a binary value."""
     for batch in W.batches(batches):
         h, first = _tokens(batch)
         ids, _ = _slots(table, h)
-        size = np.diff(first)
-        windows = -(-size // s.window)
-        take = -(-windows // s.share)
-        skip = W.mix(np.add.reduceat(h, first[:-1]) + np.uint64(turn)) % np.maximum(windows - take + 1, 1).astype(np.uint64)
-        start = first[:-1] + skip.astype(np.int64) * s.window
-        length = np.minimum(take * s.window, first[1:] - start)
-        order = np.argsort(length, kind="stable")  # texts of about a length run side by side
-        for i in range(0, len(start), s.side):
-            rows = order[i : i + s.side]
-            seen += trainer.learn(ids, start[rows], length[rows], s.window)
-    if seen:
+        where = pa.py_buffer((first * ids.itemsize).astype(np.int64))
+        slots = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, where, pa.py_buffer(ids)])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), slots.cast(pa.binary())], ["key", "slots"])
+
+
+def _trained(batches: Iterator[pa.RecordBatch], shape: gru.Shape, weights: np.ndarray, s: LanguageSettings) -> Iterator[pa.RecordBatch]:
+    """Weights of each shard; the rows of a shard follow each other."""
+    trainer, now, seen, held, size = None, None, 0, [], 0
+
+    def learn() -> int:
+        count = np.array([len(x) for x in held])
+        return trainer.learn(np.concatenate(held), np.cumsum(count) - count, count, s.window) if held else 0
+
+    def out() -> pa.RecordBatch:
         v = gru.flat(trainer.w)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v.astype(np.float64)), pa.array(np.full(len(v), seen, np.int64))], ["place", "value", "seen"])
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v.astype(np.float64)), pa.array(np.full(len(v), seen, np.int64))], ["place", "value", "seen"])
+
+    for batch in batches:
+        for shard, slots in zip(batch.column("shard").to_pylist(), batch.column("slots")):
+            if shard != now:
+                if trainer:
+                    seen += learn()
+                    yield out()
+                trainer, now, seen, held, size = gru.Trainer(gru.unflat(weights, shape), shape, s.rate, s.lanes), shard, 0, [], 0
+            held.append(np.frombuffer(slots.as_buffer(), np.int16).copy())
+            size += len(held[-1])
+            if size >= s.hold:
+                seen += learn()
+                held, size = [], 0
+    if trainer:
+        seen += learn()
+        yield out()
 
 
 def train(docs: DataFrame, table: Table, settings: LanguageSettings = LanguageSettings()) -> np.ndarray:
-    """Weights after ``rounds`` of training in all partitions and averaging."""
+    """Weights after ``rounds`` of training in all shards and averaging. ``docs`` has a ``key`` by which texts are dealt and ordered."""
     s = settings
     last = table.shape.slots - 1
     slot_counts = np.bincount(table.slot, table.count, table.shape.slots).astype(float)
     slot_counts[last] = max(table.total - slot_counts.sum(), 1)
     weights = gru.flat(gru.initial(table.shape, slot_counts))
-    for turn in range(s.rounds):
-        parts = docs.select("text").mapInArrow(partial(_trained, table=table, weights=weights, turn=turn, s=s), "place int, value double, seen bigint")
+    shards = -(-max(table.total, 1) // s.shard)
+    coded = docs.select("key", "text").mapInArrow(partial(_coded, table=table), "key bigint, slots binary")
+    coded = coded.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
+    dealt = coded.repartitionById(shards, "shard").sortWithinPartitions("shard", "key")
+    for _ in range(s.rounds):
+        parts = dealt.mapInArrow(partial(_trained, shape=table.shape, weights=weights, s=s), "place int, value double, seen bigint")
         mean = parts.groupBy("place").agg((F.sum(F.col("value") * F.col("seen")) / F.sum("seen")).alias("value")).toArrow()
         if mean.num_rows:
             weights = mean.sort_by("place").column("value").to_numpy()
@@ -225,12 +250,15 @@ def score(docs: DataFrame, train_row: Column, settings: LanguageSettings = Langu
     Rows where ``train_row`` holds are learned from; null counts as not. A null
     or empty text is its end alone. Repeated rows are scored one by one, and
     learned from as often. Without training rows every word is unknown. Words
-    outside the training texts share one type.
+    outside the training texts share one type. The same rows get the same
+    scores in whatever order and partitions they come, up to the rounding of
+    the averages.
     """
     s = settings
     columns = [c for c in docs.columns if c not in ("text", "n_tokens", "n_known", "train_tokens", "base_score", "score", "_row", "_rare")]
     known = docs.select(*columns, "text")
-    learned = docs.filter(train_row).select("text")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (ArrayType, MapType, StructType, VariantType))]
+    learned = docs.filter(train_row).select(F.xxhash64(*plain).alias("key"), "text")
     counts = written_table(count_words(learned))
     table = frequent(counts, s)
     weights = train(learned, table, s)

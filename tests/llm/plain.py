@@ -154,3 +154,27 @@ def aligned(a, b, byte_b, text):
     groups = [tuple([i for i, s, e in side if lo <= s and e <= hi] for side in spans) for lo, hi in zip([0, *cuts], cuts)]
     links = [(i, j) for i, s, e in spans[0] for j, t, f in spans[1] if max(s, t) < min(e, f)]
     return groups, links
+
+
+def network_score(w, bounds, text):
+    """Natural log probability of a text under the recurrent network, one word at a time."""
+    h = len(w["turn"])
+    outer = len(w["class_bias"]) - (len(bounds) - 1)
+    kind = [k for k in range(len(bounds) - 1) for _ in range(bounds[k], bounds[k + 1])] + [len(bounds) - 1 + k for k in range(outer)]
+    state, score = [0.0] * h, 0.0
+
+    def share(logits, k):
+        return logits[k] - math.log(sum(math.exp(x) for x in logits))
+
+    for y in text:
+        score += share([sum(state[i] * float(w["to_class"][i][k]) for i in range(h)) + float(w["class_bias"][k]) for k in range(len(w["class_bias"]))], kind[y])
+        if y < bounds[-1]:
+            lo, hi = bounds[kind[y]], bounds[kind[y] + 1]
+            score += share([sum(state[i] * float(w["to_word"][j][i]) for i in range(h)) + float(w["word_bias"][j]) for j in range(lo, hi)], y - lo)
+        back = [sum(state[i] * float(w["turn"][i][j]) for i in range(h)) for j in range(3 * h)]
+        enter = [float(x) for x in w["enter"][y]]
+        z = [1 / (1 + math.exp(-(enter[i] + back[i]))) for i in range(h)]
+        r = [1 / (1 + math.exp(-(enter[h + i] + back[h + i]))) for i in range(h)]
+        c = [math.tanh(enter[2 * h + i] + r[i] * back[2 * h + i]) for i in range(h)]
+        state = [c[i] + z[i] * (state[i] - c[i]) for i in range(h)]
+    return score

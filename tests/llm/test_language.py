@@ -18,12 +18,7 @@ def test_gradients():
     def loss(x):
         return gru.score(x, shape, ids, first, 7).sum()
 
-    class Kept(gru.Trainer):
-        def _step(self, states, targets, owners, trace):
-            self.seen = states, targets, owners, trace
-            super()._step(*self.seen)
-
-    trainer = Kept(w, shape, 1.0)
+    trainer = gru.Trainer(w, shape, 1.0)
     grads = {}
     trainer.moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in w.items()}
     trainer.learn(ids, first[:-1], np.diff(first), 7)
@@ -37,6 +32,44 @@ def test_gradients():
             assert abs((up - loss(x)) / 2e-3 - grads[k][at]) < 1e-2 * max(1, abs(grads[k][at]))
 
 
+def test_gradients_of_lanes():
+    """Texts that follow each other in a lane have the gradients of texts that stand alone."""
+    shape = gru.Shape((0, 3, 5), 2, 4)
+    rng = np.random.default_rng(3)
+    w = {k: v.astype(np.float64) + rng.normal(size=v.shape) * 0.3 for k, v in gru.initial(shape, np.arange(1, 8.0)).items()}
+    ids = rng.integers(0, 7, 40).astype(np.int16)
+    first = np.array([0, 9, 9, 10, 17, 30, 40])
+    found = []
+    for lanes in (1, 2, 100):
+        trainer = gru.Trainer(w, shape, 1.0, lanes)
+        assert trainer.learn(ids, first[:-1], np.diff(first), 64) == 40
+        found.append({k: m[0] for k, m in trainer.moment.items()})
+    for other in found[1:]:
+        assert all(np.allclose(found[0][k], other[k], atol=1e-9) for k in w)
+
+
+def test_score_against_plain_steps():
+    """The recurrence and the two softmax levels, word by word in plain Python."""
+    shape = gru.Shape((0, 1, 4, 6), 3, 5)
+    rng = np.random.default_rng(4)
+    w = {k: v + rng.normal(size=v.shape).astype(np.float32) * 0.4 for k, v in gru.initial(shape, np.arange(1, 10.0)).items()}
+    texts = [rng.integers(0, 9, n).astype(np.int16) for n in (1, 33, 70)]
+    got = gru.score(w, shape, np.concatenate(texts), np.cumsum([0, *map(len, texts)]), 8)
+    assert np.allclose(got, [plain.network_score(w, shape.bounds, t.tolist()) for t in texts], rtol=1e-4)
+
+
+def test_scores_do_not_depend_on_the_layout(llm, texts):
+    docs = [(i, texts.prose(texts.r.randint(0, 200))) for i in range(120)]
+    df = llm.createDataFrame(docs, "doc_id bigint, text string")
+    s = language.LanguageSettings(head=60, inner=20, inner_classes=4, outer_classes=3, shard=4000)
+    runs = []
+    for parts in (1, 4, 8):
+        got = language.score(df.orderBy(F.rand(parts)).repartition(parts), F.col("doc_id") % 4 != 1, s).select("doc_id", "score").collect()
+        runs.append(dict(got))
+    for other in runs[1:]:
+        assert all(abs(runs[0][i] - other[i]) < 1e-5 * max(1, abs(other[i])) for i, _ in docs)
+
+
 def test_windows_carry_the_state():
     shape = gru.Shape((0, 4, 6), 3, 5)
     w = gru.initial(shape, np.arange(1, 10.0))
@@ -57,7 +90,7 @@ def test_probabilities_sum_to_one():
 def test_counts_and_scores(llm, texts, odd):
     docs = [(i, texts.prose(texts.r.randint(0, 120))) for i in range(80)] + [(200, None), (201, "unseen-word"), (202, "")]
     df = llm.createDataFrame(docs, "doc_id bigint, text string").withColumn("held_out", F.expr("doc_id % 4 = 1"))
-    s = language.LanguageSettings(head=60, inner=20, inner_classes=4, outer_classes=3, share=1)
+    s = language.LanguageSettings(head=60, inner=20, inner_classes=4, outer_classes=3)
     got = {r.doc_id: r for r in language.score(df, ~F.col("held_out"), s).collect()}
     want = plain.base_scores(docs, lambda i: i % 4 == 1)
     for i, (n, known, total, base) in want.items():
@@ -83,7 +116,9 @@ def test_network_learns_from_all_tokens(texts, monkeypatch):
     table = language.Table(word, (np.arange(len(word)) % 5).astype(np.int16), n, np.zeros(len(word)), start, shape, len(h), len(word))
     steps = []
     step = gru.Trainer._step
-    monkeypatch.setattr(gru.Trainer, "_step", lambda self, states, targets, owners, trace: (steps.extend(targets), step(self, states, targets, owners, trace)))
-    out = list(language._trained(iter([batch]), table, gru.flat(gru.initial(shape, np.ones(5))), 0, s))
+    monkeypatch.setattr(gru.Trainer, "_step", lambda self, rate, states, targets, *more: (steps.extend(targets), step(self, rate, states, targets, *more)))
+    coded = next(language._coded(iter([batch.append_column("key", pa.array(range(7)))]), table))
+    coded = coded.append_column("shard", pa.array([3] * 7, pa.int32()))
+    out = list(language._trained(iter([coded]), shape, gru.flat(gru.initial(shape, np.ones(5))), s))
     assert out[0].column("seen")[0].as_py() == len(h)
     assert np.array_equal(np.bincount(np.concatenate(steps), minlength=5), np.bincount(table.slot[table.find(h)], minlength=5))
