@@ -286,6 +286,35 @@ def test_streams(spark, tmp_path):
     assert sorted(r["id"] for r in distinct.collect()) == [1, 2]
 
 
+def test_stream_restart_and_late_rows(spark, tmp_path):
+    """State outlives a restart; rows of closed windows and rows without a time are left out; nothing new adds nothing."""
+    def arrive(rows):
+        df = spark.createDataFrame(rows, "id int, ts string, kind string").withColumn("ts", F.to_timestamp("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        return df.schema
+
+    def counts(schema):
+        source = stream.read_reports(spark, str(tmp_path / "in"), schema, files_per_batch=1)
+        rows = stream.to_files(stream.report_counts(source, "ts", ["kind"]), str(tmp_path / "o1"), str(tmp_path / "c1"), "update")
+        return {(str(r["window_start"])[:10], r["kind"]): r["n_reports"] for r in stream.latest(rows, ["window_start", "kind"]).collect()}
+
+    def distinct(schema):
+        source = stream.read_reports(spark, str(tmp_path / "in"), schema, files_per_batch=1)
+        rows = stream.to_files(stream.distinct_reports(source, "ts", ["id"]), str(tmp_path / "o2"), str(tmp_path / "c2"))
+        return sorted(r["id"] for r in rows.collect())
+
+    schema = arrive([(1, "2024-01-01 10:00:00", "a"), (2, "2024-01-09 10:00:00", "a"), (3, None, "a")])
+    arrive([(2, "2024-01-09 11:00:00", "a"), (2, "2024-01-09 11:00:00", "b")])
+    assert counts(schema) == {("2024-01-01", "a"): 1, ("2024-01-09", "a"): 2, ("2024-01-09", "b"): 1}
+    first = distinct(schema)
+    assert first.count(1) == first.count(2) == 1
+    assert counts(schema) == {("2024-01-01", "a"): 1, ("2024-01-09", "a"): 2, ("2024-01-09", "b"): 1}
+    arrive([(4, "2024-01-01 12:00:00", "a"), (2, "2024-01-09 12:00:00", "a"), (5, "2024-01-08 09:00:00", "a")])
+    assert counts(schema) == {("2024-01-01", "a"): 1, ("2024-01-08", "a"): 1, ("2024-01-09", "a"): 3, ("2024-01-09", "b"): 1}
+    second = distinct(schema)
+    assert second.count(2) == 1 and second.count(5) == 1
+
+
 def test_classify_stream(spark, docs, tmp_path):
     fitted = scoring.fit_report_classifier(_records(docs), "doc_id", with_models=False)
     new = spark.createDataFrame([(1, "cat dog zoo"), (2, "hammer shed")], "id int, text string")
