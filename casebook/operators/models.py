@@ -164,14 +164,22 @@ def _embedding_vectors(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("_v", array_to_vector(F.col(column).cast("array<double>")))
 
 
-def kmeans_clusters(df: DataFrame, column: str = "embedding", k: int = 12, seed: int = 42) -> DataFrame:
-    """Add ``cluster_label`` from k-means with at most one cluster per row."""
+def fit_kmeans(
+    df: DataFrame, column: str = "embedding", k: int = 12, seed: int = 42, max_iter: int = 20, tol: float = 1e-4
+) -> tuple[DataFrame, list[list[float]]]:
+    """Rows with ``cluster_label`` from k-means with at most one cluster per row, and the centres in label order."""
     n = df.count()
     if min(k, n) < 2:
         raise ValueError("Need at least two rows to create clusters.")
     vectors_df = _embedding_vectors(df, column)
-    model = KMeans(k=min(k, n), seed=seed, featuresCol="_v", predictionCol="cluster_label").fit(vectors_df)
-    return model.transform(vectors_df).drop("_v")
+    estimator = KMeans(k=min(k, n), seed=seed, featuresCol="_v", predictionCol="cluster_label", maxIter=max_iter, tol=tol)
+    model = estimator.fit(vectors_df)
+    return model.transform(vectors_df).drop("_v"), [c.tolist() for c in model.clusterCenters()]
+
+
+def kmeans_clusters(df: DataFrame, column: str = "embedding", k: int = 12, seed: int = 42) -> DataFrame:
+    """Add ``cluster_label`` from k-means with at most one cluster per row."""
+    return fit_kmeans(df, column, k, seed)[0]
 
 
 def pca_2d(df: DataFrame, column: str = "embedding") -> DataFrame:

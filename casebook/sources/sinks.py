@@ -25,6 +25,11 @@ def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet"
         df.write.mode("overwrite").format(fmt).save(f"{folder}/{name}")
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """Part files that ``catalog.read_csv`` reads back: quotes doubled, white space at either end kept; empty texts come back as null."""
+    df.write.mode("overwrite").options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
 def write_config(spark: SparkSession, config: dict[str, Any], path: str) -> None:
     """Run settings as one JSON row."""
     row = [(json.dumps(config, sort_keys=True, default=str),)]

@@ -14,7 +14,7 @@ from ..session import written_table
 from . import roles
 from .registry import query
 from .roles import table, texts
-from .texts import _NEAR, _terms_sql, _vocab_sql, _weights_sql, stop_words
+from .texts import _terms_sql, _vocab_sql, _weights_sql, near_sql, stop_words
 
 N_COMPONENTS = 16
 N_SMALL = 12
@@ -132,7 +132,10 @@ def cluster_texts(spark, sf):
     return out.summary
 
 
-@query(f"""WITH {_NEAR}, vt AS (
+def by_examples_sql(asked: str) -> str:
+    """Votes of the nearest examples of the texts in ``asked``, a table of (item_id, text)."""
+    near = near_sql(asked).replace("coalesce(mit_risk_domain = 'quality 1', false)", "false")
+    return f"""WITH {near}, vt AS (
     SELECT item_id, 'risk' AS kind, mit_risk_domain AS label, similarity FROM nn JOIN rec USING (doc_id) WHERE mit_risk_domain IS NOT NULL
     UNION ALL SELECT item_id, 'problem', unnest(string_split(gmf_known_ai_technical_failure, ' | ')), similarity FROM nn JOIN rec USING (doc_id)
     UNION ALL SELECT item_id, 'sector', csetv1_sector_of_deployment, similarity FROM nn JOIN rec USING (doc_id)),
@@ -140,7 +143,10 @@ def cluster_texts(spark, sf):
   SELECT item_id, coalesce(max(label) FILTER (kind = 'risk' AND r = 1), 'Not available') AS predicted_risk,
     coalesce(max(label) FILTER (kind = 'problem' AND r = 1), 'Not available') AS predicted_problem,
     coalesce(max(label) FILTER (kind = 'sector' AND r = 1), 'Not available') AS predicted_sector
-  FROM benchmark LEFT JOIN w USING (item_id) GROUP BY 1""".replace("coalesce(mit_risk_domain = 'quality 1', false)", "false"))
+  FROM benchmark LEFT JOIN w USING (item_id) GROUP BY 1"""
+
+
+@query(by_examples_sql("benchmark"))
 def classify_by_examples(spark, sf):
     """New reports decided by their nearest examples alone."""
     records = roles.records(spark, sf)

@@ -10,6 +10,7 @@ from ..plans import scoring
 from ..session import shared_dir
 from ..streaming import reports as stream
 from . import roles
+from .learned import by_examples_sql
 from .registry import query
 from .roles import table
 from .texts import stop_words
@@ -93,7 +94,7 @@ def stream_late_rows(spark, sf):
     return stream.latest(rows, ["window_start", "event_type"]).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n_reports")
 
 
-@query()
+@query(by_examples_sql("(SELECT item_id, 'Report text: ' || trim(text) AS text FROM benchmark)"))
 def stream_classify(spark, sf):
     """New reports classified as they arrive; the output is read back."""
     records = roles.records(spark, sf)

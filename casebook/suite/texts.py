@@ -154,8 +154,10 @@ def cluster_summary(spark, sf):
 
 # --- neighbours --------------------------------------------------------------------
 
-_NEAR = f"""{_terms_sql('d', 'doc_id', 'documents')}, {_vocab_sql('d_t', 'documents', 2, 1.0, MAX_FEATURES)}, {_weights_sql('dw', 'doc_id', 'd_t')},
-  {_terms_sql('q', 'item_id', 'benchmark')}, {_weights_sql('qw', 'item_id', 'q_t')},
+def near_sql(asked: str) -> str:
+    """Common table expressions down to the nearest documents of the texts in ``asked``, a table of (item_id, text)."""
+    return f"""{_terms_sql('d', 'doc_id', 'documents')}, {_vocab_sql('d_t', 'documents', 2, 1.0, MAX_FEATURES)}, {_weights_sql('dw', 'doc_id', 'd_t')},
+  {_terms_sql('q', 'item_id', asked)}, {_weights_sql('qw', 'item_id', 'q_t')},
   sh AS (SELECT item_id, doc_id, sum(qw.weight * dw.weight) AS s FROM qw JOIN dw USING (term) GROUP BY 1, 2),
   sc AS (SELECT item_id, doc_id, round(coalesce(s, 0), 9) AS similarity FROM benchmark b CROSS JOIN (SELECT doc_id FROM documents) d LEFT JOIN sh USING (item_id, doc_id)),
   {RECORDS},
@@ -164,6 +166,9 @@ _NEAR = f"""{_terms_sql('d', 'doc_id', 'documents')}, {_vocab_sql('d_t', 'docume
     FROM sc JOIN rec USING (doc_id)) WHERE rank <= 8)"""
 
 
+_NEAR = near_sql("benchmark")
+
+
 def _near(spark, sf) -> DataFrame:
     records = roles.records(spark, sf)
     words = features.stored_words(records, "input_text", report_settings(), "doc_id", "mit_risk_domain")

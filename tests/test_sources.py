@@ -64,6 +64,34 @@ def test_catalog(spark, folder):
     assert catalog.read_optional(spark, folder + "/nothing.csv", notes) is None and "not found" in notes[0]
 
 
+def test_records_with_a_cell_too_many_or_too_few(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,name,name\n1,"x, y",u\n2,b,c,d\n3\n\n4,,""\n')
+    part = tmp_path / "b.csv"
+    part.mkdir()
+    (part / "part-0").write_text("id\n7\n")
+    (part / "part-1").write_text("id\n8\n9,9\n")
+    deeper = tmp_path / "more"
+    deeper.mkdir()
+    (deeper / "c.csv").write_text("id\n1\n")
+    loaded = catalog.load_folder(spark, str(tmp_path) + "/")
+    assert sorted(loaded.tables) == ["a", "b"] and loaded.tables["a"].columns == ["id", "name", "name_2"]
+    assert [tuple(r) for r in loaded.tables["a"].orderBy("id").collect()] == [("1", "x, y", "u"), ("2", "b", "c"), ("3", None, None), ("4", None, None)]
+    assert sorted(r["id"] for r in loaded.tables["b"].collect()) == ["7", "8", "9"]
+    bad = loaded.bad_records(spark)
+    assert sorted(tuple(r) for r in bad.collect()) == [("a", "a.csv", "2,b,c,d"), ("a", "a.csv", "3"), ("b", "part-1", "9,9")]
+    assert sorted(r["record"] for r in bad.select("record").collect()) == ["2,b,c,d", "3", "9,9"]
+    assert bad.count() == 3 and catalog.Catalog().bad_records(spark).isEmpty()
+
+
+def test_csv_round_trip_of_odd_texts(spark, tmp_path):
+    odd = ["", None, ' "q" ', "a,b", "line\nbreak\r\nand \\ slash", '"', "\\"]
+    df = spark.createDataFrame(list(enumerate(odd)), "id int, text string")
+    sinks.write_csv(df, str(tmp_path / "odd.csv"))
+    back = catalog.load_folder(spark, str(tmp_path))
+    assert [r["text"] for r in back.tables["odd"].orderBy("id").collect()] == [x or None for x in odd]
+    assert back.bad_records(spark).isEmpty()
+
+
 def test_check_columns(spark):
     df = spark.createDataFrame([(1, "a")], "a int, mit_x string")
     with pytest.raises(ValueError, match="Missing required column.*b.*Candidate label columns: mit_x"):
