@@ -71,3 +71,58 @@ def test_copies_and_templates(llm, texts):
         want[i + 100] = f"{b[0]}\n{b[2]}"
     got = {r.page_id: r.text for r in wrappers.extract(llm.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
     assert got == want
+
+
+def naive(a, b):
+    """Most matched nodes of two sequences of (label, children), by the definition."""
+    if not a or not b:
+        return 0
+    (x, inner), (y, other) = a[-1], b[-1]
+    best = max(naive(a[:-1], b), naive(a, b[:-1]))
+    return max(best, naive(a[:-1], b[:-1]) + 1 + naive(inner, other)) if x == y else best
+
+
+def test_matching_against_the_definition(texts):
+    def html(n):
+        tags = [texts.r.choice(["p", "h2", "div", "section"]) for _ in range(n)]
+        return "".join(f"<{t}>{html(2) if t in ('div', 'section') and texts.r.random() < 0.4 else 'x'}</{t}>" for t in tags)
+
+    def plain(groups):
+        return [(g.label, plain(g.children)) for g in groups]
+
+    def groups(page):
+        return wrappers.grouped([x for x in wrappers.parse(page).parts if isinstance(x, wrappers.Node)])
+
+    for _ in range(60):
+        p, q = html(texts.r.randint(0, 6)), html(texts.r.randint(0, 6))
+        score, pairs = wrappers.match(wrappers.reference(p), groups(q))
+        assert score == naive(plain(groups(p)), plain(groups(q))) == len(pairs) == len({n for n, _ in pairs})
+
+
+def test_wide_sequences_match_as_narrow_ones(texts, monkeypatch):
+    parts = ["<p>a</p>", "<h2>b</h2>", "<div><p>a</p></div>", "<div><h2>a</h2><p>b</p></div>", "<ul><li>x</ul>"]
+    for _ in range(10):
+        p, q = ("".join(texts.r.choices(parts, k=texts.r.randint(60, 120))) for _ in range(2))
+        groups = wrappers.grouped([x for x in wrappers.parse(q).parts if isinstance(x, wrappers.Node)])
+        found = []
+        for wide in (0, 10**9):
+            monkeypatch.setattr(wrappers, "WIDE", wide)
+            score, pairs = wrappers.match(wrappers.reference(p), groups)
+            found.append((score, [(n, id(g)) for n, g in pairs]))
+        assert found[0] == found[1]
+
+
+def test_pages_that_are_deep_or_broken():
+    """No page is too deep, and what is left open costs no more than its length."""
+    deep = "<div>" * 100_000 + "inside"
+    tree = wrappers.reference(deep)
+    assert wrappers.text_of(deep, tree, frozenset(), None) == "inside" and len(wrappers.flat_reference(deep)) == 100_000
+    assert len(wrappers.match(tree, wrappers.grouped([x for x in wrappers.parse(deep).parts if isinstance(x, wrappers.Node)]))[1]) == 100_000
+    for broken, text in (
+        ("<a " * 300_000, ("<a " * 300_000).strip()), ("<a \"" * 200_000 + ">", None), ("<!" * 300_000, "<!" * 300_000), ("<p>x<button>" * 50_000, None),
+        ("<script>" + "</script" * 100_000, ""), ("<p>y" + "<div>" * 20_000 + "</ul>" * 50_000, "y"), ("<div class=ad>" * 20_000 + "y<article>z", "z"),
+    ):
+        got = wrappers.text_of(broken, None, frozenset(), None)
+        assert text is None or got == text
+    siblings = "<p>x</p><h2>y</h2>" * 10_000
+    assert wrappers.text_of(siblings + "<p>end", wrappers.reference(siblings), frozenset(), 0) == "x\ny\n" * 10_000 + "end"
