@@ -30,7 +30,10 @@ INCIDENT_FIELDS = [
 
 
 def add_text(df: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
-    return df.withColumn("input_text", text.labelled_text(fields))
+    """``input_text`` of the labelled fields, each of which is cleaned once."""
+    clean = {f"_clean_{i}": text.normalize_text(c) for i, (_, c) in enumerate(fields)}
+    values = [(label, F.col(name)) for (label, _), name in zip(fields, clean)]
+    return df.withColumns(clean).withColumn("input_text", text.labelled_values(values)).drop(*clean)
 
 
 def clean_examples(
@@ -47,9 +50,13 @@ def clean_examples(
 
 
 def incident_rollup(report_level: DataFrame) -> DataFrame:
-    """Distinct reports, sources and report titles per incident."""
+    """Distinct reports, sources and report titles per incident.
+
+    The reports are a set as the titles are: a distinct count beside sets would
+    aggregate every set by incident and report first.
+    """
     return report_level.groupBy("incident_id").agg(
-        F.countDistinct("report_id").alias("joined_report_count"),
+        F.size(F.collect_set("report_id")).cast("long").alias("joined_report_count"),
         labels.collapse("source_domain").alias("source_domains"),
         labels.collapse("report_title").alias("linked_report_titles"),
     )

@@ -383,3 +383,49 @@ def test_largest(spark, monkeypatch):
         for n in (0, 1, 59, 183, 404) if few else (2, 61, 180, 300):
             got = ordering.largest(df, "n", "name", n).collect()
             assert sorted(map(tuple, got)) == sorted(want[:n]), (few, n)
+
+
+# --- plans that do their work once -----------------------------------------------
+
+def plan(df, kind="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), kind)().toString()
+
+
+def test_filtered_tables_follow_ids_found_once(spark):
+    incidents = spark.createDataFrame([(1, 2020, "a"), (1, 2021, "a"), (2, 2020, "a"), (None, 2020, "a")], "incident_id int, incident_year int, search_text string")
+    links = spark.createDataFrame([(1, "x"), (1, "y"), (2, "y"), (3, "x")], "incident_id int, source_domain string")
+    risks = spark.createDataFrame([(1, "p"), (1, "q"), (2, "p"), (None, "p")], "incident_id int, risk_category string")
+    ctx = filters.Context(incidents, links, risks, spark.createDataFrame([(1, "aa"), (2, "bb")], "incident_id int, country string"))
+    out = filters.filter_context(ctx, years=(2020, 2020), risks=["p"], domains=["x"])
+    assert [plan(df).count("Join") for df in (out.incidents, out.incident_reports, out.risk_long, out.locations)] == [1, 1, 1, 1]
+    assert rows(out.incidents) == [(1, 2020, "a")] and rows(out.incident_reports) == [(1, "x")]
+    assert rows(out.risk_long) == [(1, "p"), (1, "q")] and rows(out.locations) == [(1, "aa")]
+    assert filters.filter_context(ctx, years=(2020, 2020)).incidents.count() == 3  # an incident without id stays
+
+
+def test_rollup_moves_links_once(spark):
+    links = spark.createDataFrame([(1, 7, "a", "T"), (1, 7, "b", "t"), (1, 8, None, " T "), (2, None, "nan", "['u', 'N/A']")], "incident_id int, report_id int, source_domain string, report_title string")
+    out = corpus.incident_rollup(links.repartition(3, "report_id"))
+    assert rows(out) == [(1, 2, "a | b", "T | t"), (2, 0, "", "u")]
+    assert plan(corpus.incident_rollup(links), "executedPlan").count("Exchange") == 1
+
+
+def test_fields_of_a_text_are_cleaned_once(spark):
+    df = spark.createDataFrame([(" a  b ", "A B", "c")], "u string, v string, w string")
+    out = corpus.add_text(df, [("One", "u"), ("Two", "v"), ("Three", "w")])
+    assert rows(out.select("input_text")) == [("One: a b Three: c",)] and out.columns == ["u", "v", "w", "input_text"]
+    kept = spark.range(1).select(F.concat("id", F.lit(" x")).alias("u"), F.col("id").cast("string").alias("v"), F.lit("y").alias("w"))
+    assert plan(corpus.add_text(kept, [("One", "u"), ("Two", "v")])).count("regexp_replace") == 2
+
+
+def test_checked_corpus_rows_are_made_once(spark):
+    from casebook.plans.corpus import build_corpus
+
+    incidents = spark.createDataFrame([(str(i), f"title {i}", "", [f"r{i}"]) for i in range(6)], "incident_id string, incident_title string, incident_description string, incident_report_ids array<string>")
+    reports = spark.createDataFrame(
+        [(f"r{i}", "", "", f"a text of some length, long enough to be kept {i}", "", "Unknown") for i in range(6)],
+        "report_id string, direct_incident_id string, report_title string, report_text string, report_url string, source_domain string",
+    )
+    labels = {"classifications_CSETv1": spark.createDataFrame([(i, "s") for i in range(6)], "incident_id int, sector_of_deployment string")}
+    built = build_corpus(incidents, reports, labels)
+    assert built.classification_ready.count() == 6 and "Window" not in plan(built.classification_ready)
