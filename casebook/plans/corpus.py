@@ -57,6 +57,7 @@ def build_corpus(
     if check:
         splits.verify_no_leaks(rows, "report_level")
         if ready is not None:
+            ready = written_table(ready)  # read once for each key, and by the caller
             splits.verify_no_leaks(ready, "classification_ready")
     return Corpus(rows, splits.apply_split(by_incident, split_map), ready, label_columns, split_map)
 
