@@ -1,8 +1,10 @@
 """TF-IDF, classifiers, embeddings, clusters, neighbours, plans and streams."""
 
 import math
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +56,26 @@ def test_transform_does_not_shuffle(docs):
     assert exchanges(model.transform(docs, "text")) == exchanges(docs)
 
 
+def test_terms_are_counted_some_texts_at_a_time():
+    texts = [["aa", "bb", "aa", "bb"], [], None, ["bb"], ["cc", "aa", "bb"], ["aa", "bb"]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(t, pa.list_(pa.string()))], ["words"]) for t in (texts[:2], texts[2:], [])]
+    pairs = [(w or []) + [f"{a} {b}" for a, b in zip((w or [])[:-1], (w or [])[1:])] for w in texts]
+    cf, df = Counter(t for x in pairs for t in x), Counter(t for x in pairs for t in set(x))
+    for at_once, most in ((1, 3), (4, 2), (100, 1)):
+        got = [r for b in features._counted(iter(batches), True, at_once) for r in b.to_pylist()]
+        assert {t: (sum(r["cf"] for r in got if r["term"] == t), sum(r["df"] for r in got if r["term"] == t)) for t in {r["term"] for r in got}} == {t: (cf[t], df[t]) for t in cf}
+        assert max(Counter(r["term"] for r in got).values()) >= most or at_once == 1
+    assert len(got) == len(cf)  # one row a term
+    terms = sorted(t for t in cf if t != "cc")
+    idf = [1.0 + i for i in range(len(terms))]
+    for at_once in (1, 3, 100):
+        found = features._Weigher(terms, idf, features.TermSettings(bigrams=True)).weigh(batches[1].column(0), at_once).to_pylist()
+        for row, words in zip(found, pairs[2:]):
+            raw = {i: words.count(t) * idf[i] for i, t in enumerate(terms) if t in words}
+            assert row["term_ids"] == list(raw)
+            assert row["weights"] == pytest.approx([v / math.hypot(*raw.values()) for v in raw.values()])
+
+
 def test_classifier_round_trip(spark, docs, tmp_path):
     tfidf = features.fit_tfidf(docs, "text", PLAIN)
     stored = tfidf.vector_table(tfidf.transform(docs, "text"))
