@@ -110,8 +110,12 @@ def cluster_input(
     df: DataFrame, text_column: str = "input_text", key: str = "incident_id", min_chars: int = 80,
     order: list[str] | None = None,
 ) -> DataFrame:
-    """Cleaned rows for clustering: long enough, keyed, first of equal (key, text)."""
-    out = df.withColumn(text_column, text.normalize_text(text_column)).withColumn(key, text.normalize_text(key))
+    """Cleaned rows for clustering: long enough, keyed, first of equal (key, text).
+
+    The text is cleaned as the one element of an array, because the filter on
+    its length would be moved below a plain projection and clean it again.
+    """
+    out = df.withColumn(text_column, F.explode(F.array(text.normalize_text(text_column)))).withColumn(key, text.normalize_text(key))
     out = out.filter(long_enough(text_column, min_chars, key))
     return keep_first(out, [key, text_column], order or [c for c in out.columns if c not in (key, text_column)] or [key])
 
