@@ -76,6 +76,63 @@ def test_terms_are_counted_some_texts_at_a_time():
             assert row["weights"] == pytest.approx([v / math.hypot(*raw.values()) for v in raw.values()])
 
 
+def test_vocabulary_deals_the_most_frequent_terms_only(spark, monkeypatch):
+    names = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(90)]
+    texts = [" ".join(names[(7 * i + j * j * (i % 5 + 1)) % (3 + (i * j) % 88)] for j in range(i % 40)) for i in range(240)] + [None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(3, "id")
+    terms = [(w := (t or "").split()) + [f"{a} {b}" for a, b in zip(w, w[1:])] for t in texts]
+    cf, n_texts = Counter(t for x in terms for t in x), Counter(t for x in terms for t in set(x))
+    monkeypatch.setattr(features, "WORDS_AT_ONCE", 400)
+    monkeypatch.setattr(features, "LEAST_REPORTED", 40)
+    bound, found = features._may_be_largest, []
+    monkeypatch.setattr(features, "_may_be_largest", lambda *a: found.append(bound(*a)) or found[-1])
+    settled = []
+    for k, min_df, max_df in ((3, 2, 1.0), (8, 2, 0.3), (8, 1, 0.2), (300, 2, 1.0), (2000, 1, 1.0)):
+        settings = features.TermSettings(bigrams=True, min_df=min_df, max_df=max_df, max_features=k)
+        words = features.stored_words(df, "text", settings, "id")
+        found.clear()
+        got = [tuple(r) for r in features.vocabulary(words, "words", settings, len(texts)).collect()]
+        able = [(t, cf[t], n_texts[t]) for t in cf if min_df <= n_texts[t] <= max_df * len(texts)]
+        assert got == sorted(able, key=lambda r: (-r[1], r[0]))[:k]
+        settled.append([x and len(x) for x in found])
+    assert any(x and x[0] for x in settled) and [None] in settled  # some by bounds, some by all counts
+    lists = pa.array([t.split() for t in texts if t])
+    rows = [b.num_rows for b in features._counted(iter([pa.RecordBatch.from_arrays([lists], ["words"])]), True, 400, 40)]
+    assert max(rows) <= 40 < len(cf)
+
+
+def test_neighbours_are_indexed_by_terms_of_the_queries():
+    rng = np.random.default_rng(5)
+    lists = [np.sort(rng.choice(70_000, 30, replace=False)).tolist() for _ in range(50)] + [[]]
+    weights = [rng.integers(1, 4, len(x)).astype(float).tolist() for x in lists]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(51)), pa.array(["a", None, "b"] * 17), pa.array(lists, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))],
+        ["key", "label", "term_ids", "weights"],
+    )
+    for asked in ([], lists[0][:9], lists[3] + lists[7][5:], [x for x in lists[9] if x < 60_000]):
+        mask = np.zeros(max(asked, default=0) + 1, bool)
+        mask[asked] = True
+        index = neighbours._Index(batch, mask)
+        assert set(index.ids.tolist()) <= set(asked) and len(index.ids) == sum(t in asked for x in lists for t in x)
+        ids, w = np.array(sorted(asked), np.int32), rng.random(len(asked))
+        by_term = dict(zip(ids.tolist(), w))
+        expected = [sum(by_term.get(t, 0.0) * v for t, v in zip(x, y)) for x, y in zip(lists, weights)]
+        assert index.all_scores(ids, w) == pytest.approx(expected)
+        full = np.zeros(len(mask))
+        full[ids] = w
+        assert index.scores(np.arange(51), full) == pytest.approx(expected)
+        reached = set(index.reaching(ids, w, 1.0).tolist())
+        assert {i for i, x in enumerate(expected) if x >= 1.0} <= reached
+
+
+def test_stored_words_are_weighed_like_texts(spark, docs):
+    tfidf = features.fit_tfidf(docs, "text", PLAIN)
+    words = features.stored_words(docs, "text", PLAIN, "doc_id")
+    assert features.fit_tfidf(words, "words", PLAIN) == tfidf
+    plain = {r["doc_id"]: (r["term_ids"], r["weights"]) for r in tfidf.transform(docs, "text").collect()}
+    assert {r["doc_id"]: (r["term_ids"], r["weights"]) for r in tfidf.transform(words, "words").collect()} == plain
+
+
 def test_classifier_round_trip(spark, docs, tmp_path):
     tfidf = features.fit_tfidf(docs, "text", PLAIN)
     stored = tfidf.vector_table(tfidf.transform(docs, "text"))
