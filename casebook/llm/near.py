@@ -8,10 +8,11 @@ as sets grow alike. Bands of registers propose pairs; the Jaccard similarity is
 estimated jointly by maximum likelihood from the counts of larger, smaller and
 equal registers; what is left is verified on the full sets.
 
-Work stays linear in the rows of a group. Texts with the same set form one
-class by fingerprint, and only one of them is compared. Inside a bucket every
-member meets the bucket's leader; classes that still share a bucket after
-that are compared in blocks, which give links and not pairs.
+Texts with the same set form one class by fingerprint, and only one of them is
+compared. Inside a bucket every member meets the bucket's leader. Classes that
+still share a bucket after that compare the registers of their members there;
+those that agree in enough of them form families, whose sets are compared in
+blocks. Blocks give links and not pairs, and members of one class do not meet.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -40,9 +41,11 @@ class NearSettings:
     With registers that agree with probability of at least 0.8 on a linked
     pair, 32 bands of 4 miss it with probability (1 - 0.8**4)**32 = 5e-8.
     ``prune`` is the estimate below which a pair is not verified: at 0.8 the
-    estimate has a standard deviation of 0.035. ``block`` and
+    estimate has a standard deviation of 0.035, as has the share of equal
+    registers, which is held against it inside a bucket. ``block`` and
     ``block_members`` bound the shingles and the members of a block of texts that
-    are compared with each other.
+    are compared with each other, ``sketch_members`` the members of a block of
+    registers. ``deal`` bucket rows or so go to a task's group.
     """
 
     width: int = 5
@@ -54,6 +57,8 @@ class NearSettings:
     prune: float = 0.58
     block: int = 200_000
     block_members: int = 500
+    sketch_members: int = 2000
+    deal: int = 8192
 
 
 def registers(values: np.ndarray, first: np.ndarray, s: NearSettings) -> np.ndarray:
@@ -200,25 +205,137 @@ def _block_links(table: pa.Table, s: NearSettings) -> pa.Table:
     return pa.table({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y])})
 
 
+def _dealt(members: DataFrame, group: str, cost: Column, full: int) -> DataFrame:
+    """(group, doc_id, component, own, lo, hi): a member's block and each pair of blocks in which it is compared.
+
+    A block costs about ``full``. A class that fills one has blocks of its own,
+    which meet the blocks of others and not each other; the other classes of
+    the group share blocks, all pairs of which meet. Costs are whole numbers,
+    so that a task that runs again deals alike.
+    """
+
+    def blocks(c: Column) -> Column:
+        return F.floor((c + (full - 1)) / full)
+
+    classes = members.groupBy(group, "component").agg(F.sum(cost).cast("bigint").alias("cost"))
+    large = F.col("cost") >= full
+    groups = classes.groupBy(group).agg(
+        F.array_sort(F.collect_list(F.when(large, F.struct("component", blocks(F.col("cost")).alias("n"))))).alias("large"),
+        blocks(F.coalesce(F.sum(F.when(~large, F.col("cost"))), F.lit(0))).alias("rest"),
+    )
+    before = F.expr("transform(large, (c, i) -> struct(c.component, rest + aggregate(slice(large, 1, i), 0L, (t, y) -> t + y.n) AS start, c.n AS n))")
+    total = F.expr("rest + aggregate(large, 0L, (t, y) -> t + y.n)")
+    placed = members.join(groups.select(group, "rest", total.alias("total"), before.alias("large")), group)
+    placed = placed.withColumn("class", F.expr("get(filter(large, c -> c.component = component), 0)")).drop("large")
+    own = F.expr("if(class IS NULL, pmod(xxhash64(doc_id), rest), class.start + pmod(xxhash64(doc_id), class.n))")
+    other = F.expr("explode(filter(sequence(0L, total - 1), p -> class IS NULL OR p < class.start OR p >= class.start + class.n))")
+    met = placed.withColumn("own", own).withColumn("other", other)
+    return met.select(group, "doc_id", "component", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+
+def _forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest node that each of ``n`` nodes is connected to by the pairs (x, y)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(rows of a, rows of b) number of equal registers."""
+    out = np.zeros((len(a), len(b)), np.int16)
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)):
+        out += x[:, None] == y
+    return out
+
+
+def _bucket_links(table: pa.Table, s: NearSettings) -> pa.Table:
+    """Links (b, a) that connect the members of different classes whose registers agree, of some pairs of blocks of buckets.
+
+    A pair of blocks gives fewer links than it has members, however many of
+    its pairs agree.
+    """
+    table = table.sort_by([("key", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("own", "ascending")])
+    ids, node = np.unique(table.column("doc_id").to_numpy(), return_inverse=True)
+    regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.int16).reshape(len(node), s.registers)
+    label, sizes, own = (table.column(c).to_numpy() for c in ("component", "n_shingles", "own"))
+    least = s.prune * s.registers
+    marks = np.stack([table.column(c).to_numpy() for c in ("key", "lo", "hi")], 1)
+    cuts = np.concatenate([[0], np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1, [len(node)]]).tolist()
+
+    def likely(x: np.ndarray, y: np.ndarray, same: np.ndarray) -> np.ndarray:
+        near_size = 100 * np.minimum(sizes[x], sizes[y]) >= s.percent * np.maximum(sizes[x], sizes[y])
+        return (same >= least) & near_size & (label[x] != label[y])
+
+    few, links = [], []
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        if j - i <= 32:
+            x, y = np.triu_indices(j - i, 1)
+            few.append((x + i, y + i))
+            continue
+        rows = np.arange(i, j)
+        if own[i] == own[j - 1]:  # members of the largest class need no row of their own
+            seen, at = np.unique(label[i:j], return_inverse=True)
+            ask = rows[at != np.bincount(at).argmax()]
+        else:
+            ask, rows = rows[own[i:j] == own[i]], rows[own[i:j] != own[i]]
+        step = max(1, (2 << 20) // len(rows))
+        for k in range(0, len(ask), step):
+            part = ask[k : k + step]
+            same = _equal(regs[part], regs[rows])
+            x, y = np.nonzero(same >= least)
+            same, x, y = same[x, y], part[x], rows[y]
+            keep = likely(x, y, same)
+            x, y = x[keep] - i, y[keep] - i
+            root = _forest(j - i, x, y)
+            to = np.flatnonzero(root != np.arange(j - i))
+            links.append((node[to + i], node[root[to] + i]))
+    if few:
+        x, y = (np.concatenate(z) for z in zip(*few))
+        for k in range(0, len(x), 1 << 16):
+            a, b = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+            keep = likely(a, b, np.count_nonzero(regs[a] == regs[b], axis=1))
+            links.append((node[a[keep]], node[b[keep]]))
+    x, y = (np.concatenate(z) for z in zip(*links)) if links else (np.zeros(0, np.int64),) * 2
+    root = _forest(len(ids), x, y)
+    to = np.flatnonzero(root != np.arange(len(ids)))
+    return pa.table({"b": ids[to], "a": ids[root[to]]})
+
+
+def _families(rows: DataFrame, sketches: DataFrame, s: NearSettings) -> DataFrame:
+    """(doc_id, family): members of different classes that share a bucket and agree in their registers, connected over such pairs."""
+    dealt = _dealt(rows.select("key", "doc_id", "component").distinct(), "key", F.lit(1), s.sketch_members)
+    full = dealt.join(sketches.select("doc_id", "n_shingles", "registers"), "doc_id")
+    deal = F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(1 + rows.count() // s.deal))
+
+    def links(table: pa.Table) -> pa.Table:
+        return _bucket_links(table, s)
+
+    found = written_table(full.withColumn("deal", deal).groupBy("deal").applyInArrow(links, "b bigint, a bigint"))
+    return _classes(found).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+
+
 def _within_families(rows: DataFrame, sketches: DataFrame, docs: DataFrame, s: NearSettings) -> DataFrame:
     """Links (a, b) left between classes that still share a bucket.
 
-    A family is what buckets connect. Its members are dealt into blocks of a
-    bounded number of shingles, every pair of blocks is compared once, and
-    only links leave the task, so that a large family is neither gathered nor
+    Sharing a bucket by chance connects nothing: a family is what agreeing
+    registers connect. Its members are dealt into blocks of a bounded number of
+    shingles, pairs of blocks that may hold links are compared once, and only
+    links leave the task, so that a large family is neither gathered nor
     written out as pairs.
     """
-    members = rows.select("doc_id", "component").distinct()
-    families = connected_components(rows.select("doc_id", "key").distinct(), "doc_id", "key").withColumnRenamed("component", "family")
-    sized = members.join(families, "doc_id").join(sketches.select("doc_id", "n_shingles"), "doc_id")
-    blocks = sized.groupBy("family").agg(F.ceil(F.greatest(F.sum("n_shingles") / s.block, F.count(F.lit(1)) / s.block_members)).alias("n_blocks"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("n_blocks"))
-    dealt = sized.join(blocks, "family").withColumn("own", own).drop("n_shingles")
-    sets = _sets_of(members.select("doc_id"), docs, s)
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1))
-    pairs = dealt.join(sets, "doc_id").withColumn("other", other).select(
-        "doc_id", "component", "items", "family", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
-    )
+    members = written_table(rows.select("doc_id", "component").distinct().join(_families(rows, sketches, s), "doc_id"))
+    sized = members.join(sketches.select("doc_id", "n_shingles"), "doc_id")
+    cost = F.greatest(F.col("n_shingles") * s.block_members, F.lit(s.block))
+    dealt = _dealt(sized, "family", cost, s.block * s.block_members).drop("own")
+    pairs = dealt.join(_sets_of(members.select("doc_id"), docs, s), "doc_id")
 
     def links(table: pa.Table) -> pa.Table:
         return _block_links(table, s)
